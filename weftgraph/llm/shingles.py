@@ -86,7 +86,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(owner, minlength=n)
     starts = np.concatenate([[0], np.cumsum(counts)])
     sums, heads = np.zeros(len(h), np.uint64), np.minimum(counts, WIDTH)
-    for k in range(WIDTH):
+    for k in range(min(WIDTH, len(h))):
         part = h[k:] * _PLACE[k]
         inside = owner[k:] == owner[: len(owner) - k]
         sums[: len(part)] += np.where(inside, part, np.uint64(0))
