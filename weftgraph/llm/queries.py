@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.llm import secrets
+from weftgraph.llm.bpe import round_trip
+from weftgraph.llm.licenses import scan as scan_licenses
+from weftgraph.llm.mixing import mixture
 from weftgraph.llm.neardup import near_duplicates
 from weftgraph.llm.neighbours import nearest
 from weftgraph.llm.sharding import shard
 from weftgraph.llm.shared import table
+from weftgraph.llm.toxicity import toxicity
 from weftgraph.llm.urls import filter_urls
 
 #: Shards of op6, and the rules of op10: host, path, verdict.
@@ -17,6 +22,29 @@ SHARDS = 8
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def vocabulary() -> str:
+    """The place of the tokenizer's file, the same on the driver and all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -29,15 +57,24 @@ def op8_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_license_scan": op4_license_scan,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_jump_sharding": op6_jump_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_vantage_point_neighbours": op8_vantage_point_neighbours,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -45,6 +82,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS key, len({_WORDS}) AS tokens, md5(coalesce(text, '')) AS digest FROM documents),
+sources AS (SELECT key, sum(tokens)::BIGINT AS mass, count(*) AS n FROM docs GROUP BY key),
+total AS (SELECT sum(mass)::BIGINT AS t, count(*) FILTER (mass > 0) AS n FROM sources),
+logs AS (SELECT key, ln(mass / t::DOUBLE) AS lp FROM sources, total WHERE mass > 0),
+bisect AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d
+  UNION ALL
+  SELECT i + 1, if(h >= 0.95 * ln(n), x, a), if(h >= 0.95 * ln(n), b, x), if(r <= 4.0, c, y), if(r <= 4.0, y, d)
+  FROM (
+    SELECT i, a, b, c, d, x, y, n,
+      (SELECT ln(sum(exp(x * lp))) - x * sum(exp(x * lp) * lp) / sum(exp(x * lp)) FROM logs) AS h,
+      (SELECT max(exp((y - 1) * lp)) / sum(exp(y * lp)) FROM logs) AS r
+    FROM (SELECT *, (a + b) / 2 AS x, (c + d) / 2 AS y FROM bisect WHERE i < 32), total)),
+power AS (SELECT if(n < 2, 1.0, round(greatest(a, d), 9)) AS e FROM bisect, total WHERE i = 32),
+raised AS (SELECT key, exp(e * lp) AS p FROM logs, power),
+plan AS (
+  SELECT s.key, s.mass, s.n, coalesce(p / (SELECT sum(p) FROM raised), 0.0) AS w,
+    floor(round(t::DOUBLE * coalesce(p / (SELECT sum(p) FROM raised), 0.0), 3))::BIGINT AS quota, ((s.n + 511) // 512)::BIGINT AS blocks
+  FROM sources s LEFT JOIN raised USING (key), total),
+placed AS (
+  SELECT doc_id, source, key, tokens, digest, w, mass, quota, ('0x' || md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || digest)[1:15])::BIGINT AS o, blocks
+  FROM docs JOIN plan USING (key)),
+turned AS (
+  SELECT *, o % blocks AS block, ('0x' || md5('0:' || key || ':' || (o % blocks))[1:15])::BIGINT AS turn FROM placed),
+summed AS (
+  SELECT *, (sum(tokens) OVER (PARTITION BY key ORDER BY turn, block, o, doc_id, digest ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS place FROM turned)
+SELECT doc_id, source, tokens::BIGINT AS tokens, round(w, 9) AS weight,
+  if(w > 0, quota // mass + if(place + tokens <= quota - (quota // mass) * mass, 1, 0), 0)::BIGINT AS copies, block, place
+FROM summed
+""",
     "op7_minhash_near_dedup": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 shingles AS (
