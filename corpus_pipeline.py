@@ -1,17 +1,56 @@
-"""The corpus pipeline: toxicity, near-duplicates, secrets, source weights, token ids."""
+"""The corpus pipeline: toxicity, near-duplicates, secrets, source weights, token ids.
+
+Each stage takes what the stage before it kept, as a table of documents; all but
+the last return a table of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm.shared import table
+from weftgraph.llm import secrets
+from weftgraph.llm.bpe import round_trip
+from weftgraph.llm.mixing import mixed
+from weftgraph.llm.neardup import deduplicate
+from weftgraph.llm.queries import vocabulary
+from weftgraph.llm.shared import table, written
+from weftgraph.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that score as toxic."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return deduplicate(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets; all documents stay."""
+    return secrets.mask(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents by the weight of their source."""
+    return mixed(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text."""
+    return round_trip(docs, vocabulary())
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mixing), ("bpe", bpe)]
 
-STAGES: list = []
+#: A trained classifier is not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each one returns is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -245,3 +245,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, less those of which a near-duplicate with a smaller doc_id stays.
+
+    Rows of one doc_id count as one document, of which one row stays.  Rows with a
+    null doc_id cannot be told apart and all stay.
+    """
+    found = written(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    told = found.agg(F.count(F.when(~F.col("kept"), 1)).alias("gone"), F.max("rows").alias("rows")).head()
+    if told["gone"] <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    if (told["rows"] or 0) > 1:
+        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return kept

@@ -12,6 +12,7 @@ from weftgraph.llm.licenses import scan as scan_licenses
 from weftgraph.llm.mixing import mixture
 from weftgraph.llm.neardup import near_duplicates
 from weftgraph.llm.neighbours import nearest
+from weftgraph.llm.retrieval import search
 from weftgraph.llm.sharding import shard
 from weftgraph.llm.shared import table
 from weftgraph.llm.toxicity import toxicity
@@ -33,6 +34,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_bm25_top_k": op2_bm25_top_k,
     "op3_source_mixing": op3_source_mixing,
     "op4_license_scan": op4_license_scan,
     "op5_bpe_round_trip": op5_bpe_round_trip,
@@ -82,6 +88,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_bm25_top_k": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+stats AS (SELECT count(*)::DOUBLE AS n, sum(len(w)) / count(*)::DOUBLE AS average FROM docs),
+tf AS (SELECT r, doc_id, len(w) AS length, t, count(*) AS tf FROM docs, unnest(w) AS x(t) GROUP BY ALL),
+df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t),
+scores AS (
+  SELECT q.doc_id AS query_id, d.r, d.doc_id,
+    sum(round(1000000 * ln(1 + (n - df + 0.5) / (df + 0.5)) * (d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * d.length / average)))))::BIGINT AS units
+  FROM tf q JOIN tf d ON q.t = d.t AND q.doc_id % 100 = 0 JOIN df ON df.t = q.t, stats GROUP BY ALL)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id))::INTEGER AS rank, doc_id, units / 1000000.0::DOUBLE AS score
+FROM scores WHERE units > 0 QUALIFY rank <= 10
+""",
     "op3_source_mixing": rf"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS key, len({_WORDS}) AS tokens, md5(coalesce(text, '')) AS digest FROM documents),

@@ -56,15 +56,15 @@ _SOLID[[9, 10, 11, 12, 13, 32]] = False
 _BYTE = constants(256, 11)[_LOWER]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word in order, and the row of the text that it is in."""
+def word_hashes(texts: pa.Array, of_words: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word in order, and the row of the text that it is in; of_words tells which bytes words are made of."""
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     size = int(offsets[-1] - offsets[0])
     if not size:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     data, offsets = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-    solid = _SOLID[data]
+    solid = of_words[data]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     heads = offsets[:-1][np.diff(offsets) > 0]
