@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 #: Word blocks: one for so many documents, within these bounds.
 BLOCK_DOCS, BLOCKS = 4000, (16, 4096)
 #: Distinct words encoded at once.
@@ -47,7 +47,7 @@ def pack(*parts: np.ndarray | bytes) -> bytes:
             flat = np.ascontiguousarray(part, np.uint32)
             part = flat.view(np.uint8).reshape(-1, 4).T.tobytes()
         out += [struct.pack("<Q", len(part)), part]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list[bytes]:
@@ -105,9 +105,11 @@ class _Chunk:
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([np.empty(0, np.uint32), *self.texts])
-        by_count = np.argsort(-np.bincount(flat, minlength=len(self.index)), kind="stable")
+        count = np.bincount(flat, minlength=len(self.index))
+        by_count = np.argsort(-count, kind="stable")
+        # Words that occur once rank in the order in which they occur, so one number stands for each of them.
         rank = np.empty(len(by_count), np.uint32)
-        rank[by_count] = np.arange(len(by_count))
+        rank[by_count] = np.minimum(np.arange(len(by_count)), np.count_nonzero(count > 1))
         named = list(self.index)
         named = [named[i].encode() for i in by_count]
         block = np.fromiter([zlib.crc32(w) % self.blocks for w in named], np.uint32, len(named))
@@ -117,7 +119,7 @@ class _Chunk:
             part = [named[i] for i in order[bounds[k] : bounds[k + 1]]]
             yield _row(self.number, int(k), pack(np.fromiter(map(len, part), np.uint32, len(part)), b"".join(part)), None)
         lengths = np.fromiter(map(len, self.texts), np.uint32, len(self.texts))
-        yield _row(self.number, None, pack(lengths, rank[flat], block), self.ids)
+        yield _row(self.number, None, pack(lengths, np.array([np.count_nonzero(count > 1)]), rank[flat], block), self.ids)
 
 
 def _row(chunk: int, block: int | None, data: bytes, docs: list[int | None] | None) -> pa.RecordBatch:
@@ -208,7 +210,9 @@ def _assembled(rows: DataFrame, path: str, schema: str, each) -> DataFrame:
                 if block is not None:
                     held.append((block, data))
                     continue
-                lengths, ranks, of_block = (integers(x) for x in unpack(data))
+                lengths, repeated, ranks, of_block = (integers(x) for x in unpack(data))
+                once = ranks == repeated[0]
+                ranks = np.where(once, repeated[0] + np.cumsum(once) - 1, ranks)
                 parts = [tuple(map(integers, unpack(d))) for _, d in sorted(held, key=lambda x: x[0])]
                 held = []
                 counts = np.concatenate([np.empty(0, np.uint32), *(c for c, _ in parts)])
