@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, tie: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, tie: str, slice_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """left and `value` of the last right row of the same `by` at or before its time; ties by the largest `tie`.
 
-    Both sides go through one window by key and time; nothing is joined.
+    Nothing is joined: both sides go through a window by key and slice of time, so
+    a hot key is spread over tasks; what a slice ends with is carried to the next
+    ones through a table of one row for each key and slice.  slice_of maps a time
+    to its slice, in the same order; a day by default.  A null key finds nothing.
     """
+    slice_of = slice_of or (lambda t: F.date_trunc("day", t))
     fields = F.struct(*(F.col(c) for c in left.columns)).alias("row")
-    a = left.select(F.col(by).alias("k"), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[tie].dataType).alias("o"), fields, F.lit(None).cast(right.schema[value].dataType).alias("v"))
-    b = right.select(F.col(by).alias("k"), F.col(right_time).alias("t"), F.lit(0).alias("side"), F.col(tie).alias("o"), F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col(value).alias("v"))
-    w = Window.partitionBy("k").orderBy("t", "side", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b).withColumn("found", F.last("v", ignorenulls=True).over(w))
-    return both.where("side = 1").select("row.*", F.col("found").alias(value))
+    none = F.lit(None)
+    a = left.select(F.col(by).alias("k"), F.col(left_time).alias("t"), F.lit(1).alias("side"), none.cast(right.schema[tie].dataType).alias("o"), fields, none.cast(right.schema[value].dataType).alias("v"))
+    b = right.where(F.col(by).isNotNull() & F.col(right_time).isNotNull()).select(F.col(by).alias("k"), F.col(right_time).alias("t"), F.lit(0).alias("side"), F.col(tie).alias("o"), none.cast(a.schema["row"].dataType).alias("row"), F.col(value).alias("v"))
+    both = a.unionByName(b).withColumn("slice", slice_of(F.col("t")))
+    right_rows = F.col("side") == 0
+    # The last right row up to here within the slice, as a struct: its value may be null.
+    w = Window.partitionBy("k", "slice").orderBy("t", "side", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("here", F.last(F.when(right_rows, F.struct("v")), ignorenulls=True).over(w))
+    ends = both.groupBy("k", "slice").agg(F.max_by(F.when(right_rows, F.struct("v")), F.when(right_rows, F.struct("t", "o"))).alias("end"))
+    before = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("k").alias("k2"), F.col("slice").alias("s2"), F.last("end", ignorenulls=True).over(before).alias("earlier"))
+    found = inside.where("side = 1").join(carried, F.col("k").eqNullSafe(F.col("k2")) & F.col("slice").eqNullSafe(F.col("s2")))
+    return found.select("row.*", F.when(F.col("k").isNotNull() & F.col("t").isNotNull(), F.coalesce("here", "earlier")["v"]).alias(value))
 
 
 def range_join(points: DataFrame, point: Column, ranges: DataFrame, low: Column, high: Column, width: float) -> DataFrame:
