@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import by_run, components, drop_written, written
+from weftgraph.llm.shared import Batches, by_run, components, lean, written
 from weftgraph.llm.shingles import constants, mix, shingle_sets, signatures, slices
 
 SYMBOLS, MOST, CHUNKS = 64, 33, 17
@@ -65,7 +64,8 @@ def _rows(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), kind).reshape(len(values), -1)
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lean
+def _described(batches: Batches) -> Batches:
     multipliers = constants(SYMBOLS, 7)
     left, right = constants(2, 19)
     for batch in batches:
@@ -80,7 +80,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, hashes), _fixed(sig)], ["doc_id", "n", "h1", "h2", "sig"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lean
+def _keyed(batches: Batches) -> Batches:
     for batch in batches:
         if batch.num_rows:
             keys = bucket_keys(_rows(batch.column(1), np.uint32))
@@ -88,14 +89,16 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["key", "node"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lean
+def _near(batches: Batches) -> Batches:
     for batch in batches:
         if batch.num_rows:
             apart = (_rows(batch.column(2), np.uint8) != _rows(batch.column(3), np.uint8)).sum(axis=1)
             yield batch.filter(pa.array(apart <= MOST)).select(["a", "b"])
 
 
-def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lean
+def _bytes_of(batches: Batches) -> Batches:
     """Each symbol's low byte: a distance on these is at most the distance on whole symbols."""
     for batch in batches:
         if batch.num_rows:
@@ -217,7 +220,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(members.join(sizes, "comp"), "members")
     wanted = members.select("h1", "h2", F.col("node"), "comp", "total", F.col("least").alias("doc_id"))
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def full(batches: Batches) -> Batches:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)

@@ -9,13 +9,13 @@ more and may miss neighbours.  The shards' results are merged by distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm.shared import Batches, lean
+
 #: Vectors of a shard on average, of a leaf at most, and queries that walk a tree together.
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8192, 48, 512
 
@@ -106,7 +106,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, factor: float = 1
     asked = rows.where(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("query"), "vec_id", "embedding")
     dealt = indexed.unionByName(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "query", "vec_id")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def search(batches: Batches) -> Batches:
         at, held, tree = None, [], None
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(3)]

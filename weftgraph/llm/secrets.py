@@ -21,6 +21,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftgraph.llm.shared import Batches, lean
+
 #: The base kinds, in order, their patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -158,7 +160,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def over(batches: Batches) -> Batches:
         for batch in batches:
             n, digests, spans = {k: [] for k in KINDS[:3]}, [], []
             for text in batch.column(1):
@@ -192,7 +195,8 @@ def mask(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def over(batches: Batches) -> Batches:
         for batch in batches:
             old = batch.column(at).to_pylist()
             new = [x and masked(x) for x in old]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import itertools
 import shutil
 import tempfile
@@ -35,11 +38,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again.
 
     This cuts the lineage, so a lost executor costs one reread and not the work
-    before it.  Spark removes the folder with its checkpoint folder's owner.
+    before it.  The files go when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +58,27 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """fn, which gives the memory that its task has used back to the system: Python workers stay for later tasks."""
+
+    @functools.wraps(fn)
+    def over(batches: Batches) -> Batches:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return over
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys, from batches sorted by them; a batch's runs stay together."""
     held: list[pa.RecordBatch] = []
@@ -87,7 +113,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 def by_run(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn over tables of whole runs of equal keys (never null), many small runs at a time."""
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def over(batches: Batches) -> Batches:
         return itertools.chain.from_iterable(map(fn, runs(batches, keys)))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(over, schema)
