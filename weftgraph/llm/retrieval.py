@@ -17,8 +17,6 @@ not depend on the order of addition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,14 +24,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import integers, pack, unpack
-from weftgraph.llm.shared import written
+from weftgraph.llm.shared import Batches, lean, written
 from weftgraph.llm.shingles import slices, word_hashes
 
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Documents and postings of a shard at most (a longer document is a shard of its own), and documents of a block.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 16_384, 6_000_000, 128
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 16_384, 4_000_000, 128
 #: A word is frequent in a shard if one in so many documents holds it.
-FREQUENT = 16
+FREQUENT = 6
+#: Numbers of up to so many shards are broadcast; more are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
 #: Queries that visit a shard together, about.
 QUERY_BLOCK = 256
 
@@ -87,7 +87,8 @@ class _Builder:
 def _indexed(docs: DataFrame) -> DataFrame:
     """shard, its documents and their length in words, sorted word hashes, their document frequencies, and the packed index."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def build(batches: Batches) -> Batches:
         number, builder = TaskContext.get().partitionId() << 32, _Builder()
 
         def flush() -> pa.RecordBatch:
@@ -128,57 +129,65 @@ class Shard:
         self.frequent = np.flatnonzero(df * FREQUENT >= n) if n >= 4 * BLOCK_DOCS else np.empty(0, np.int64)
         self.dense_of = np.full(len(self.words), -1)
         self.dense_of[self.frequent] = np.arange(len(self.frequent))
-        self.dense = np.zeros((len(self.frequent), n), np.uint32 if len(self.count) and self.count.max() > 65535 else np.uint16)
-        blocks = -(-n // BLOCK_DOCS)
-        self.block_max = np.zeros((len(self.frequent), blocks))
-        for k, t in enumerate(self.frequent):
-            at = slice(self.start[t], self.start[t + 1])
-            self.dense[k, self.doc[at]] = self.count[at]
-            np.maximum.at(self.block_max[k], self.doc[at] // BLOCK_DOCS, self._share(self.count[at], self.doc[at]))
-
-    def _share(self, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        return count * (K1 + 1) / (count + self.norm[doc])
-
-    def best(self, found: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents for the words at `found`, by score and then id; scores are over 0."""
+        self.dense = np.zeros((len(self.frequent), n), np.int32)
+        self.block_max = np.zeros((len(self.frequent), -(-n // BLOCK_DOCS)), np.int64)
+        self.weight = np.zeros(len(self.doc), np.int32)
+        self.known = np.zeros(len(self.words), bool)
+
+    def learn(self, found: np.ndarray, idf: np.ndarray) -> None:
+        """Weights of the words at `found`, which no query changes: they are computed once."""
+        new = ~self.known[found]
+        found, idf = found[new], idf[new]
+        self.known[found] = True
+        size = self.start[found + 1] - self.start[found]
+        at = np.repeat(self.start[found] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        for a in range(0, len(at), 500_000):
+            part = at[a : a + 500_000]
+            count = self.count[part]
+            share = count * (K1 + 1) / (count + self.norm[self.doc[part]])
+            self.weight[part] = np.rint(np.repeat(idf, size)[a : a + 500_000] * share * UNIT)
+        for t in found[self.dense_of[found] >= 0]:
+            k, at = self.dense_of[t], slice(self.start[t], self.start[t + 1])
+            self.dense[k, self.doc[at]] = self.weight[at]
+            np.maximum.at(self.block_max[k], self.doc[at] // BLOCK_DOCS, self.weight[at])
+
+    def best(self, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best documents for the learned words at `found`, by score and then id; scores are over 0."""
         dense = self.dense_of[found]
         rare, often = found[dense < 0], dense[dense >= 0]
         size = self.start[rare + 1] - self.start[rare]
         at = np.repeat(self.start[rare] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        doc = self.doc[at]
-        weight = np.rint(np.repeat(idf[dense < 0], size) * self._share(self.count[at], doc) * UNIT)
-        total = np.bincount(doc, weight, minlength=len(self.ids))
+        total = np.bincount(self.doc[at], self.weight[at], minlength=len(self.ids)).astype(np.int64)
+        least = 1
         if len(often):
-            idf = idf[dense >= 0]
-            bound = (np.rint(idf[:, None] * self.block_max[often] * UNIT)).sum(axis=0)
-            full = lambda docs: total[docs] + self._frequent(often, idf, docs)
-            least = 1.0
             if len(total) > 4 * k:
-                start = np.argpartition(-total, 4 * k)[: 4 * k]
-                least = max(least, np.partition(full(start), -k)[-k])
+                start = np.argpartition(total, -4 * k)[-4 * k :]
+                least = max(least, np.partition(total[start] + self._frequent(often, start), -k)[-k])
+            bound = self.block_max[often].sum(axis=0)
             docs = np.flatnonzero(total + np.repeat(bound, BLOCK_DOCS)[: len(total)] >= least)
-            scores = full(docs)
+            scores = total[docs] + self._frequent(often, docs)
         else:
             docs = np.flatnonzero(total)
             scores = total[docs]
         if len(docs) > k:
-            keep = scores >= max(1.0, np.partition(scores, -k)[-k])
-        else:
-            keep = scores > 0
+            least = max(least, np.partition(scores, -k)[-k])
+        keep = scores >= least
         docs, scores = docs[keep], scores[keep]
         order = np.lexsort((self.ids[docs], -scores))[:k]
         return self.ids[docs[order]], scores[order]
 
-    def _frequent(self, often: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(docs))
-        for a in range(0, len(docs), 2048):
-            part = docs[a : a + 2048]
-            count = self.dense[often][:, part] if len(part) * 4 > len(self.ids) else self.dense[np.ix_(often, part)]
-            out[a : a + 2048] = np.rint(idf[:, None] * (count * (K1 + 1) / (count + self.norm[part])) * UNIT).sum(axis=0)
-        return out
+    def _frequent(self, often: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What the frequent words add to the scores of docs."""
+        if 4 * len(docs) < len(self.ids):
+            return self.dense[np.ix_(often, docs)].sum(axis=0, dtype=np.int64)
+        out = np.zeros(len(self.ids), np.int64)
+        for k in often:
+            out += self.dense[k]
+        return out[docs]
 
 
-def _packed_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lean
+def _packed_queries(batches: Batches) -> Batches:
     """Blocks of queries from rows (query, block, terms, df): the block's words once, and each query's places among them."""
 
     def packed(rows: list[tuple]) -> bytes:
@@ -218,14 +227,16 @@ def search(docs: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     shards = max(1, -(-docs.count() // SHARD_DOCS))
     index = written(_indexed(named.coalesce(shards)), "index")
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def frequencies(batches: Batches) -> Batches:
         for batch in batches:
             for words, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, n = np.frombuffer(words, np.int64), np.frombuffer(df, np.uint32).astype(np.int64)
                 for a in range(0, len(h), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["term", "df"])
 
-    def nameless_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def nameless_terms(batches: Batches) -> Batches:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 h, row, count, length = terms(batch.column(0).slice(a, b - a))
@@ -241,7 +252,8 @@ def search(docs: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     asked = named.where(F.col("doc_id") % every == 0).groupBy("doc_id").agg(F.min("text").alias("text"))
 
-    def asked_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def asked_terms(batches: Batches) -> Batches:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 h, row, _, _ = terms(batch.column(1).slice(a, b - a))
@@ -255,12 +267,17 @@ def search(docs: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     queries = queries.select("query", F.col("x.term").alias("term"), F.col("x.df").alias("df"))
     blocks = written(queries.mapInArrow(_packed_queries, "data binary"), "queries")
 
-    # Each block of queries visits every group of shards.
+    # Each block of queries visits every shard.
     groups = max(1, own["shards"])
-    dealt = index.select(F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("group"), F.lit(0).alias("kind"), F.col("index").alias("data"))
+    number = F.row_number().over(Window.orderBy("shard")).cast("long") - 1
+    numbers = index.select("shard", number.alias("group"))
+    if groups <= BROADCAST_SHARDS:
+        numbers = F.broadcast(numbers)
+    dealt = index.join(numbers, "shard").select("group", F.lit(0).alias("kind"), F.col("index").alias("data"))
     visits = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.lit(1).alias("kind"), "data")
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def visit(batches: Batches) -> Batches:
         at, held = None, []
         for batch in batches:
             for group, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -279,17 +296,19 @@ def search(docs: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
                         continue
                     found = np.searchsorted(shard.words, h)
                     found = np.where(shard.words[np.minimum(found, len(shard.words) - 1)] == h, found, -1)
+                    shard.learn(found[found >= 0], idf[found >= 0])
                     for query, a, b in zip(ids.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
                         own = places[a:b]
                         own = own[found[own] >= 0]
-                        docs, scores = shard.best(found[own], idf[own], k)
+                        docs, scores = shard.best(found[own], k)
                         q.append(np.full(len(docs), query))
                         d.append(docs)
                         s.append(scores)
                 if q:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q).astype(np.int64)), pa.array(np.concatenate(d)), pa.array(np.concatenate(s).astype(np.int64))], ["query_id", "doc_id", "units"])
 
-    near = dealt.unionByName(visits).repartition(groups, "group").sortWithinPartitions("group", "kind").mapInArrow(visit, "query_id long, doc_id long, units long")
+    # More partitions than shards, so that few shards meet in one.
+    near = dealt.unionByName(visits).repartition(4 * groups, "group").sortWithinPartitions("group", "kind").mapInArrow(visit, "query_id long, doc_id long, units long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("units"), "doc_id"))
     best = near.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "doc_id", (F.col("units") / F.lit(float(UNIT))).alias("score"))
