@@ -10,14 +10,13 @@ linear classifier, which scores every whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.shared import Batches, drop_written, lean, written
 from weftgraph.llm.shingles import constants, mix, slices
 
 #: Labelled rows that the model is fitted on at most, those of least hash of their doc_id.
@@ -148,12 +147,10 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tupl
         if k == rounds // 2:
             rest = seen - np.outer(q, on) - np.outer(1 - q, off)
             size = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            related = np.abs(rest.T @ rest / len(rest) / np.outer(size, size))
+            related = rest.T @ rest / len(rest) / np.outer(size, size)
             np.fill_diagonal(related, 0)
             say = 1 / (1 + np.where(related > 0.1, related, 0).sum(axis=1))
         fires, not_ = np.log(on / off), np.log((1 - on) / (1 - off))
-        # Not firing says little: a text holds few of the lexicon's words.
-        not_[1:] = np.clip(not_[1:], -0.3, 0.3)
         logit = np.log(prior / (1 - prior)) + seen @ (say * fires) + (1 - seen) @ (say * not_)
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return q, say
@@ -190,15 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(known), "doc_id").select("text", "toxic")
 
-    def fires(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def fires(batches: Batches) -> Batches:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 h, r, *_ = _fired(batch.column(0).slice(a, b - a))
                 toxic = batch.column(1).slice(a, b - a).to_numpy()[r]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(toxic.astype(np.int64))], ["h", "toxic"])
 
-    from weftgraph.llm.shared import drop_written, written
-
     sample = written(sample, "labelled")
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).head()
     if not total["toxic"] or total["toxic"] == total["n"]:
@@ -212,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     chosen = count.orderBy(F.desc("on"), "h").limit(VOTERS).select("h").collect()
     voters = np.sort(np.array([x["h"] for x in chosen], np.int64).view(np.uint64))
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def seen(batches: Batches) -> Batches:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 x = np.column_stack([_features(batch.column(0).slice(a, b - a), voters), batch.column(1).slice(a, b - a).to_numpy()])
@@ -233,7 +230,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "s
     fields = list(docs.schema.fields)
     at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def score(batches: Batches) -> Batches:
         for batch in batches:
             texts = batch.column(at).cast(pa.string())
             out = [np.empty(0)]
