@@ -30,7 +30,7 @@ from weftgraph.llm.shingles import constants, mix, shingle_sets, signatures, sli
 
 SYMBOLS, MOST, CHUNKS = 64, 33, 17
 #: Rows of a bucket, and shingles of a group, that are compared in one block.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 65_536
 #: Up to so many ids of documents to be compared in full are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
