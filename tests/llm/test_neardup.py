@@ -53,6 +53,10 @@ def test_repeats_nulls_and_nothing(spark):
         [(3, 4, 2, False), (3, 4, 2, False), (2, 4, 2, True), (2, 1, 2, True), (None, 0, None, True)], key=repr
     )
     assert got(spark, []) == []
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, near), (None, near + " x"), (None, near + " x y"), (None, text)] * 3
+    assert sorted(got(spark, rows), key=repr) == sorted([(None, n, None, True) for n in (56, 57, 58, 4)] * 3, key=repr)
+    assert {x[0]: x[2:] for x in got(spark, [(None, near), (8, near + " x"), (9, near + " x y")])} == {None: (8, False), 8: (8, True), 9: (8, False)}
 
 
 def test_pigeonhole():

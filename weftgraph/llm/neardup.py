@@ -77,7 +77,8 @@ def _described(batches: Batches) -> Batches:
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ salt), dtype=np.uint64)])
                 hashes.append(mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64)).view(np.int64))
             sig = signatures(s, offsets, multipliers)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, hashes), _fixed(sig)], ["doc_id", "n", "h1", "h2", "sig"])
+            own = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(n), *map(pa.array, hashes), _fixed(sig)], ["doc_id", "text_hash", "n", "h1", "h2", "sig"])
 
 
 @lean
@@ -195,9 +196,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nothing else does, and is not kept where its component has a name.  Columns
     other than doc_id and text are ignored.  An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = written(docs.mapInArrow(_described, "doc_id long, n long, h1 long, h2 long, sig binary"), "described")
-    classes = described.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    described = written(docs.mapInArrow(_described, "doc_id long, text_hash long, n long, h1 long, h2 long, sig binary"), "described")
+    # A row that stands for its class: one with a doc_id, if any has one.
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("row")
+    classes = described.where("n > 0").groupBy("h1", "h2").agg(row, F.min("n").alias("n"), F.min("sig").alias("sig"))
+    classes = classes.select("h1", "h2", F.col("row.doc_id").alias("least"), F.col("row.text_hash").alias("text_hash"), "n", "sig")
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select("node", "sig").mapInArrow(_keyed, "key long, node long")
@@ -215,10 +220,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     united = by_run(blocks, ["key", "i", "j"], _united, "a long, b long")
     groups = written(components(coarse.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(united)), "groups").withColumnRenamed("label", "comp")
 
-    members = groups.join(classes.select("node", "h1", "h2", "n", "least"), "node")
+    members = groups.join(classes.select("node", "h1", "h2", "n", "least", "text_hash"), "node")
     sizes = members.groupBy("comp").agg(F.sum("n").alias("total"))
     members = written(members.join(sizes, "comp"), "members")
-    wanted = members.select("h1", "h2", F.col("node"), "comp", "total", F.col("least").alias("doc_id"))
+    wanted = members.select("h1", "h2", F.col("node"), "comp", "total", "least", F.col("text_hash").alias("its_hash"))
 
     @lean
     def full(batches: Batches) -> Batches:
@@ -236,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     if members.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "h1", "h2", "node", "comp", "total")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("text_hash") == F.col("its_hash"))).select("text", "h1", "h2", "node", "comp", "total")
     sets = texts.mapInArrow(full, "node long, comp long, total long, set binary").dropDuplicates(["node"])
     blocks = _in_blocks(sets, "comp", F.ceil(F.col("total") / BLOCK_SHINGLES)).drop("total")
     links = by_run(blocks, ["comp", "i", "j"], _linked, "a long, b long")
