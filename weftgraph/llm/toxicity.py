@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted voter hashes and classifier weights, from at most SAMPLE_ROWS labelled rows that are not held out.
 
     Null labels and doc_ids are left out; a doc_id that is labelled more than once
-    counts as toxic if any of its labels says so.  Without labels of both kinds
+    counts as toxic if any of its labels says so, and of its texts the first in
+    order is learned from.  Without labels of both kinds
     there are no voters, and the bias alone gives the share of toxic labels.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # The sample is bounded, and so is what is broadcast and what is gathered.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(known), "doc_id").select("text", "toxic")
+    sample = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
     @lean
     def fires(batches: Batches) -> Batches:
