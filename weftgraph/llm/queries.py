@@ -87,7 +87,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: One word in DuckDB: lower-casing of A-Z only, runs of anything but the space and U+0009 to U+000D.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+
+def _jump_sql(shards: int) -> str:
+    """Jump hashing of the column key, a step a table; CRC-32 byte by byte with a table made from its polynomial."""
+    step = "SELECT * REPLACE (if(j < {n}, (k * 2862933555777941757 + 1) % 18446744073709551616, k) AS k, if(j < {n}, j, b) AS b, if(j < {n}, floor((j + 1) * (2147483648.0::DOUBLE / (((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1)::DOUBLE))::BIGINT, j) AS j) FROM {last}"
+    out = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: if(c % 2 = 1, xor(c >> 1, 3988292384), c >> 1))) AS t),
+docs AS (
+  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::INTEGER])), 4294967295) AS text_crc32,
+    ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:8])::HUGEINT * 4294967296 + ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[9:16])::HUGEINT AS key
+  FROM documents, crc)"""
+    for name, n in (("s", shards), ("g", shards + 1)):
+        out += f", {name}0 AS (SELECT DISTINCT doc_id, key AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM docs)"
+        for i in range(n):
+            out += f", {name}{i + 1} AS ({step.format(n=n, last=f'{name}{i}')})"
+    return (
+        out
+        + f"""
+SELECT doc_id, size, text_crc32, 'key' AS law, s.b::INTEGER AS shard,
+  row_number() OVER (PARTITION BY s.b ORDER BY ('0x' || md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), size, text_crc32))[1:15])::BIGINT % (((SELECT count(*) FROM documents) + 49999) // 50000), doc_id, size, text_crc32) - 1 AS slot,
+  g.b::INTEGER AS grown_shard
+FROM docs JOIN s{shards} s USING (doc_id) JOIN g{shards + 1} g USING (doc_id)"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_jump_sharding": _jump_sql(SHARDS),
     "op2_bm25_top_k": r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id,

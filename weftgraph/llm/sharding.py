@@ -71,7 +71,9 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     rows = rows.withColumn("key", stable_key("doc_id"))
     rows = rows.withColumn("shard", jump_hash("key", shards)).withColumn("grown_shard", jump_hash("key", shards + 1))
     blocks = max(1, -(-docs.count() // NUMBERED_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(blocks)))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")
+    place = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = rows.withColumn("block", F.pmod(place, F.lit(blocks)))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "block").agg(F.sum("times").alias("in_block"))
     offsets = offsets.select("shard", "block", F.coalesce(F.sum("in_block").over(before), F.lit(0)).alias("offset"))
