@@ -1,11 +1,11 @@
 """Byte-level BPE through a table of distinct words.
 
 A first pass splits texts into words.  Each task collects texts into chunks; a
-chunk keeps, for its distinct words, a rank by frequency, and writes its texts
-as ranks.  Its distinct words go, packed, to as many word blocks as there are,
-by a hash, so that every distinct word meets all its chunks in one block.  There
-each distinct word is encoded once, and its ids are joined to the vocabulary's
-pieces.  Ids and pieces go back to the chunks and are joined by position.
+chunk gives its distinct words ranks by frequency and its texts become ranks.
+The distinct words go, packed, to as many word blocks as there are, by a hash,
+so that every distinct word meets all its chunks in one block.  There each
+distinct word is encoded once.  The ids go back to the chunks, where they are
+joined by position and, to decode, to the vocabulary's pieces.
 
 A frequent word takes one place in each chunk, however often it occurs, so no
 key is hot; what moves is packed and compressed.
@@ -18,17 +18,21 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.shared import Batches, lean
+
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Word blocks: one for so many documents, within these bounds.
-BLOCK_DOCS, BLOCKS = 4000, (16, 4096)
+BLOCK_DOCS, BLOCKS = 16_000, (16, 1 << 20)
 #: Distinct words encoded at once.
 ENCODED_WORDS = 20_000
 
@@ -47,7 +51,7 @@ def pack(*parts: np.ndarray | bytes) -> bytes:
             flat = np.ascontiguousarray(part, np.uint32)
             part = flat.view(np.uint8).reshape(-1, 4).T.tobytes()
         out += [struct.pack("<Q", len(part)), part]
-    return zstandard.ZstdCompressor(level=6).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list[bytes]:
@@ -104,13 +108,18 @@ class _Chunk:
         self.held += size
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        flat = np.concatenate([np.empty(0, np.uint32), *self.texts])
-        count = np.bincount(flat, minlength=len(self.index))
+        flat, lengths = np.concatenate([np.empty(0, np.uint32), *self.texts]), np.fromiter(map(len, self.texts), np.uint32, len(self.texts))
+        self.texts = []
+        # Not by bincount, which would widen the whole array.
+        count = np.zeros(len(self.index), np.int64)
+        for a in range(0, len(flat), 1 << 18):
+            count += np.bincount(flat[a : a + (1 << 18)], minlength=len(count))
         by_count = np.argsort(-count, kind="stable")
         # Words that occur once rank in the order in which they occur, so one number stands for each of them.
         rank = np.empty(len(by_count), np.uint32)
         rank[by_count] = np.minimum(np.arange(len(by_count)), np.count_nonzero(count > 1))
         named = list(self.index)
+        self.index = {}
         named = [named[i].encode() for i in by_count]
         block = np.fromiter([zlib.crc32(w) % self.blocks for w in named], np.uint32, len(named))
         order = np.argsort(block, kind="stable")
@@ -118,7 +127,6 @@ class _Chunk:
         for k in np.flatnonzero(np.diff(bounds)):
             part = [named[i] for i in order[bounds[k] : bounds[k + 1]]]
             yield _row(self.number, int(k), pack(np.fromiter(map(len, part), np.uint32, len(part)), b"".join(part)), None)
-        lengths = np.fromiter(map(len, self.texts), np.uint32, len(self.texts))
         yield _row(self.number, None, pack(lengths, np.array([np.count_nonzero(count > 1)]), rank[flat], block), self.ids)
 
 
@@ -132,7 +140,8 @@ _ROWS = "chunk long, block int, data binary, docs array<long>"
 
 
 def _chunked(docs: DataFrame, path: str, blocks: int) -> DataFrame:
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def split(batches: Batches) -> Batches:
         words = splitter(path)
         number = TaskContext.get().partitionId() << 32
         chunk = _Chunk(number, blocks)
@@ -150,10 +159,11 @@ def _chunked(docs: DataFrame, path: str, blocks: int) -> DataFrame:
     return docs.mapInArrow(split, _ROWS)
 
 
-def _encoded(blocks: DataFrame, path: str) -> DataFrame:
-    """Each word block's rows with ids and pieces in the words' places; a word is encoded once in its block."""
+def _encoded(rows: DataFrame, path: str, blocks: int) -> DataFrame:
+    """Each word block's rows with ids in the words' places; a word is encoded once in its block.  Texts pass through."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def encode(batches: Batches) -> Batches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -162,7 +172,10 @@ def _encoded(blocks: DataFrame, path: str) -> DataFrame:
         tokenizer.no_padding()
         known: dict[bytes, bytes] = {}
         for batch in batches:
-            for chunk, block, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            texts = pc.is_null(batch.column(1))
+            yield batch.filter(texts)
+            words_only = batch.filter(pc.invert(texts))
+            for chunk, block, data in zip(*(words_only.column(i).to_pylist() for i in range(3)), strict=True):
                 if block != at:
                     at, known = block, {}
                 lengths, text = unpack(data)
@@ -177,9 +190,12 @@ def _encoded(blocks: DataFrame, path: str) -> DataFrame:
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
                 yield _row(chunk, block, pack(counts, np.frombuffer(b"".join(ids), np.uint32)), None)
 
-    return blocks.repartition("block").sortWithinPartitions("block", "chunk").mapInArrow(encode, _ROWS)
+    # A chunk's texts go with any of the word blocks, so the rows are computed and dealt out once.
+    place = F.coalesce(F.col("block"), F.pmod(F.xxhash64("chunk"), F.lit(blocks)).cast("int"))
+    return rows.repartition(place).sortWithinPartitions("block", "chunk").mapInArrow(encode, _ROWS)
 
 
+@lru_cache(1)
 def vocabulary_pieces(path: str) -> list[bytes]:
     """The bytes of each id's piece; the vocabulary bounds this table."""
     from tokenizers import Tokenizer
@@ -198,55 +214,57 @@ def vocabulary_pieces(path: str) -> list[bytes]:
     return out
 
 
-def _assembled(rows: DataFrame, path: str, schema: str, each) -> DataFrame:
-    """each(doc_ids, texts, id arrays of words, piece bytes of words) for every chunk."""
+def _assembled(rows: DataFrame, schema: str, each) -> DataFrame:
+    """each(doc_ids, words in each text, ranks of the words, starts and ends by rank, ids) for every chunk."""
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, held, at = vocabulary_pieces(path), [], None
+    @lean
+    def assemble(batches: Batches) -> Batches:
+        held, at = [], None
         for batch in batches:
-            for chunk, block, data, docs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k in range(batch.num_rows):
+                chunk, block, data, docs = (batch.column(i)[k].as_py() for i in range(4))
                 if chunk != at:
                     at, held = chunk, []
                 if block is not None:
                     held.append((block, data))
                     continue
-                lengths, repeated, ranks, of_block = (integers(x) for x in unpack(data))
-                once = ranks == repeated[0]
-                ranks = np.where(once, repeated[0] + np.cumsum(once) - 1, ranks)
-                parts = [tuple(map(integers, unpack(d))) for _, d in sorted(held, key=lambda x: x[0])]
+                lengths, repeated, ranks, of_block = map(integers, unpack(data))
+                del data
+                ranks = np.require(ranks, requirements="W")
+                once = np.flatnonzero(ranks == repeated[0])
+                ranks[once] = repeated[0] + np.arange(len(once), dtype=np.uint32)
+                del once
+                counts, ids = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+                for _, packed in sorted(held):
+                    for out, part in zip((counts, ids), unpack(packed), strict=True):
+                        out.append(integers(part))
                 held = []
-                counts = np.concatenate([np.empty(0, np.uint32), *(c for c, _ in parts)])
-                flat = np.concatenate([np.empty(0, np.uint32), *(i for _, i in parts)])
+                counts, ids = np.concatenate(counts), np.concatenate(ids)
                 ends = np.cumsum(counts, dtype=np.int64)
-                spans = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))
                 where = np.empty(len(of_block), np.int64)
                 where[np.argsort(of_block, kind="stable")] = np.arange(len(of_block))
-                joined, listed = flat.tolist(), [spans[i] for i in where]
-                ids = [joined[a:b] for a, b in listed]
-                yield from each(docs, lengths, ranks, ids, [b"".join([pieces[i] for i in x]) for x in ids])
+                yield from each(docs, lengths, ranks, (ends - counts)[where], ends[where], ids)
 
     return rows.repartition("chunk").sortWithinPartitions("chunk", F.col("block").asc_nulls_last()).mapInArrow(assemble, schema)
 
 
 def _through(docs: DataFrame, path: str, schema: str, each) -> DataFrame:
-    from weftgraph.llm.shared import written
-
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = min(max(docs.count() // BLOCK_DOCS, BLOCKS[0]), BLOCKS[1])
-    chunks = written(_chunked(docs, path, blocks), "chunks")
-    encoded = _encoded(chunks.where("block IS NOT NULL"), path)
-    return _assembled(encoded.unionByName(chunks.where("block IS NULL")), path, schema, each)
+    return _assembled(_encoded(_chunked(docs, path, blocks), path, blocks), schema, each)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids for every row of docs (doc_id, text); a null text is an empty one, which has no ids."""
 
-    def each(ids, lengths, ranks, word_ids, _):
+    def each(docs, lengths, ranks, starts, ends, ids):
         at = 0
-        for doc_id, n in zip(ids, lengths.tolist(), strict=True):
-            found = [i for r in ranks[at : at + n].tolist() for i in word_ids[r]]
+        for doc_id, n in zip(docs, lengths.tolist(), strict=True):
+            own = ranks[at : at + n]
             at += n
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([found], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            size = (ends - starts)[own]
+            found = ids[np.repeat(starts[own] - np.r_[0, np.cumsum(size)[:-1]].astype(np.int64), size) + np.arange(size.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([found.astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _through(docs, path, "doc_id long, ids array<int>", each)
 
@@ -276,17 +294,21 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     are kept, other columns are ignored, an empty table gives no rows.
     """
 
-    def each(ids, lengths, ranks, word_ids, word_pieces):
-        told, size = [",".join(map(str, x)) for x in word_ids], np.fromiter(map(len, word_ids), np.int64, len(word_ids))
-        n, left, right, at = [], [], [], 0
-        for k in lengths.tolist():
-            part = ranks[at : at + k]
-            at += k
-            n.append(int(size[part].sum()))
-            part = part.tolist()
-            left.append(hashlib.sha256(",".join([told[r] for r in part]).encode()).hexdigest())
-            text = b"".join([word_pieces[r] for r in part]).decode("utf-8", "replace")
-            right.append(hashlib.sha256(text.encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(left), pa.array(right)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def each(docs, lengths, ranks, starts, ends, ids):
+        pieces, size = vocabulary_pieces(path), ends - starts
+        bounds = list(zip(np.r_[0, np.cumsum(lengths)[:-1]].tolist(), np.cumsum(lengths).tolist(), strict=True))
+
+        def by_text(values: list, join: str | bytes, digest) -> pa.Array:
+            """Of each text, the digest of the joined values of its words; a distinct word's value is made once."""
+            flat, starts_, ends_ = ids.tolist(), starts.tolist(), ends.tolist()
+            made = [join.join([values[i] for i in flat[a:b]]) for a, b in zip(starts_, ends_, strict=True)]
+            del flat, starts_, ends_
+            return pa.array([digest(join.join([made[r] for r in ranks[a:b].tolist()])) for a, b in bounds], pa.string())
+
+        n = pa.array([int(size[ranks[a:b]].sum()) for a, b in bounds], pa.int64())
+        left = by_text([str(i) for i in range(len(pieces))], ",", lambda x: hashlib.sha256(x.encode()).hexdigest())
+        # The join of ids to pieces.
+        right = by_text(pieces, b"", lambda x: hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), n, left, right], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _through(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", each)
