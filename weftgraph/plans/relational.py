@@ -111,6 +111,34 @@ def salted_join(spark, sf_dir):
     return j.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_quantity") * F.col("f")), 2).alias("q"))
 
 
+@query("r_theta_join", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def theta_join(spark, sf_dir):
+    n = load(spark, sf_dir, "nation")
+    a, b = n.select("n_regionkey", F.col("n_nationkey").alias("i"), F.col("n_name").alias("x")), n.select("n_regionkey", F.col("n_nationkey").alias("j"), F.col("n_name").alias("y"))
+    return a.join(b, "n_regionkey").where("i < j").select("x", "y")
+
+
+@query("r_cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 3")
+def cross_join(spark, sf_dir):
+    return load(spark, sf_dir, "region").crossJoin(load(spark, sf_dir, "nation").where("n_nationkey < 3")).select("r_name", "n_name")
+
+
+_SEGMENTS = "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
+
+
+def _by_strategy(hint: str):
+    @query(f"r_{hint}_join", _SEGMENTS)
+    def join(spark, sf_dir):
+        c = load(spark, sf_dir, "customer").hint(hint)
+        return load(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+    return join
+
+
+for _hint in ("merge", "shuffle_hash"):
+    _by_strategy(_hint)
+
+
 # Aggregation
 
 
@@ -300,6 +328,16 @@ def json(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("r_json_path", "SELECT event_id, props->>'$.k' AS k, props->>'$.none' AS missing FROM events")
+def json_path(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.none").alias("missing"))
+
+
+@query("r_explode", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, generate_subscripts(string_split(p_type, ' '), 1) - 1 AS at FROM part")
+def explode(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_type", " ")).alias("at", "word")).select("p_partkey", "word", F.col("at").cast("long").alias("at"))
+
+
 @query("r_vectors", "SELECT vec_id, round(list_dot_product(e, c), 6) AS d, round(list_cosine_similarity(e, c), 6) AS s FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id = 0)")
 def vectors(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
