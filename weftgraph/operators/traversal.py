@@ -49,12 +49,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # Written, so that both sides of the join are dealt out for it and Spark can split a hub's rows.
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = cut(small.where("a <> b").distinct())
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        if after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty():
             return ids.join(now.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
         now = after
 
