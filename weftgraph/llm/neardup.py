@@ -3,7 +3,7 @@
 Every distinct shingle set gets a signature of SYMBOLS MinHash symbols of 32
 bits.  Two sets with a Jaccard similarity of 0.75 differ in a quarter of the
 symbols on average; more than MOST of the 64 differ with a probability of about
-5e-6.  The signature is split into CHUNKS chunks.  By the pigeonhole principle
+1.4e-6.  The signature is split into CHUNKS chunks.  By the pigeonhole principle
 two signatures with at most MOST < 2 * CHUNKS differing symbols have a chunk
 with at most one differing symbol, so indexing each chunk once for each symbol
 left out finds all pairs under the threshold.
