@@ -74,11 +74,17 @@ class _Builder:
     def index(self) -> tuple[np.ndarray, np.ndarray, bytes]:
         """Sorted words, how many documents hold each, and all of it packed."""
         h, row, count = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((row, h))
-        h, row, count = h[order], row[order], count[order]
+        self.parts = []
+        # Rows come in order, so a stable sort by word leaves each word's rows in order.
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        row = row[order]
+        count = count[order]
+        del order
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
         df = np.diff(np.r_[first, len(h)])
-        step = np.diff(row.astype(np.int64), prepend=0)
+        step = row.copy()
+        step[1:] -= row[:-1]
         step[first] = row[first]
         lengths, ids = np.concatenate(self.lengths), np.concatenate(self.ids)
         return h[first], df, pack(_longs(ids.view(np.uint64)), lengths, _longs(h[first]), df, step, count)
@@ -120,10 +126,11 @@ class Shard:
         self.words = np.frombuffer(words, np.uint64)
         df, step, self.count = integers(df), integers(step), integers(count)
         self.start = np.r_[0, np.cumsum(df, dtype=np.int64)]
-        total = np.cumsum(step, dtype=np.int64)
-        # Steps begin anew with each word.
-        before = np.r_[0, total][self.start[:-1]]
-        self.doc = (total - np.repeat(before, df)).astype(np.int64)
+        # Steps begin anew with each word; sums may wrap around, their differences do not.
+        total = np.cumsum(step, dtype=np.uint32)
+        before = np.where(self.start[:-1] > 0, total[self.start[:-1] - 1], np.uint32(0)) if len(total) else total
+        total -= np.repeat(before, df)
+        self.doc = total.view(np.int32)
         self.norm = K1 * (1 - B + B * integers(lengths) / average)
         n = len(self.ids)
         self.frequent = np.flatnonzero(df * FREQUENT >= n) if n >= 4 * BLOCK_DOCS else np.empty(0, np.int64)
