@@ -51,3 +51,25 @@ def test_held_out_accuracy_and_spark_scores(spark):
         assert abs(got[t]["probability"] - want) < 1e-4, t
     assert all(got[t]["confirmed"] for f in licenses.TEMPLATES.values() for t in f)
     assert not any(got[t]["confirmed"] for t in licenses.NEAR_MISSES)
+
+
+def test_every_template_passes_the_gate(spark):
+    forms = [(t, f) for f, texts in licenses.TEMPLATES.items() for t in texts]
+    got = scan(spark, [f"prose\n// {t}\nmore" for t, _ in forms])
+    assert [got[i]["families"] for i in range(len(forms))] == [f for _, f in forms]
+    assert all(got[i]["n_candidates"] == got[i]["n_confirmed"] == 1 for i in range(len(forms)))
+
+
+def test_gate_finds_exactly_the_trigrams_of_templates():
+    import random
+    import re
+
+    trigrams = {g for f in licenses.TEMPLATES.values() for t in f for g in licenses.grams_of(licenses.words_of(t), 3, 3)}
+    gate = re.compile(licenses._forms())
+    r = random.Random(5)
+    parts = [w for g in sorted(trigrams) for w in g.split(" ")]
+    for _ in range(20_000):
+        g = r.choice(sorted(trigrams)).split(" ") if r.random() < 0.7 else r.choices(parts, k=4)
+        words = [str(r.randrange(10**3)) if w == "0" else r.choice([w, w.upper(), w.title()]) for w in g]
+        text = r.choice(["", "x", "7", "\u00e9", " "]) + "".join(w + r.choice(["", " ", "-", ".\u00e9", "  "]) for w in words) + r.choice(["", "s", "1"])
+        assert bool(gate.search(text)) == bool(trigrams & licenses.grams_of(licenses.words_of(text), 3, 3)), text

@@ -1,7 +1,7 @@
 """Licence scanning with a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph that names a licence term is turned into hashed word n-grams.  A
-softmax regression, trained here on variants of the templates below and on
+A paragraph that names a licence term or has three words in a row of a template
+is turned into hashed word n-grams.  A softmax regression, trained here on variants of the templates below and on
 near misses, gives a probability to each licence family and to an unknown
 class; its temperature and threshold are calibrated on variants held out of
 training.  A prediction stands only if the paragraph shares enough word
@@ -27,7 +27,7 @@ BUCKETS, GRAM = 4096, 3
 WINDOW, STEP = 60, 30
 #: Share of trigrams, of the template or of the paragraph, that confirms a family.
 CONFIRMED = 0.6
-#: A paragraph without any of these stems is no candidate; a family's paragraphs always have one.
+#: A paragraph with any of these stems is a candidate, and so is one with a trigram of a template (see _forms).
 TERMS = r"(?i)licen[cs]|copyright|warrant|redistribut|creative|spdx|public.domain|\bcc\b"
 TERMS_IN_WORDS = r"licen[cs]|copyright|warrant|redistribut|creative|spdx|public domain|\bcc\b"
 UNKNOWN = "unknown"
@@ -107,6 +107,37 @@ def grams_of(words: list[str], least: int = 1, most: int = GRAM) -> set[str]:
     return {" ".join(words[i : i + n]) for n in range(least, most + 1) for i in range(len(words) - n + 1)}
 
 
+def _any_of(sequences: list[tuple[str, ...]]) -> str:
+    """A regular expression for one of `sequences` of expressions, none of which begins another; common beginnings are tried once."""
+    if sequences == [()]:
+        return ""
+    heads: dict[str, list[tuple[str, ...]]] = {}
+    for s in sequences:
+        heads.setdefault(s[0], []).append(s[1:])
+    parts = [head + _any_of(rest) for head, rest in heads.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+@lru_cache(1)
+def _forms() -> str:
+    """A regular expression, for Java and Python, that finds a trigram of a template in exactly the texts whose words have one.
+
+    A paragraph is confirmed only if it shares a trigram with a template, so none
+    that could be confirmed is passed over.
+    """
+    letters, digits = [], []
+    for gram in sorted({g for family in TEMPLATES.values() for t in family for g in grams_of(words_of(t), GRAM, GRAM)}):
+        words, out = gram.split(" "), []
+        for i, w in enumerate(words):
+            if i:
+                # A letter and a digit are two words without anything between them.
+                out.append("[^A-Za-z0-9]" + ("*+" if (w == "0") != (words[i - 1] == "0") else "++"))
+            last = i == len(words) - 1
+            out += ["[0-9]" if last else "[0-9]++"] if w == "0" else [*w, *(["(?![A-Za-z])"] if last else [])]
+        (digits if words[0] == "0" else letters).append(tuple(out))
+    return "(?i)(?:" + "|".join(["(?<![A-Za-z])" + _any_of(letters)] * bool(letters) + [_any_of(digits)] * bool(digits)) + ")"
+
+
 def bucket(gram: str) -> int:
     return zlib.crc32(gram.encode()) % BUCKETS
 
@@ -234,12 +265,12 @@ def classify(paragraphs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """row, doc_id and the numbered paragraphs with a licence term of every row."""
-    lines = f"filter(transform(split(text, '\\n'), (p, i) -> named_struct('number', i, 'paragraph', p)), x -> x.paragraph rlike '{TERMS}' OR array_join({_normal('x.paragraph')}, ' ') rlike '{TERMS_IN_WORDS}')"
+    """row, doc_id and the numbered paragraphs with a licence term or a trigram of a template of every row."""
+    lines = f"filter(transform(split(text, '\\n'), (p, i) -> named_struct('number', i, 'paragraph', p)), x -> x.paragraph rlike '{TERMS}' OR x.paragraph rlike '{_forms()}' OR array_join({_normal('x.paragraph')}, ' ') rlike '{TERMS_IN_WORDS}')"
     lines = lines.replace("\\b", "\\\\b")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = F.expr(f"CASE WHEN text rlike '{TERMS.replace(chr(92) + 'b', chr(92) * 2 + 'b')}' THEN {lines} END")
+    found = F.expr(f"CASE WHEN text rlike '{TERMS.replace(chr(92) + 'b', chr(92) * 2 + 'b')}' OR text rlike '{_forms()}' THEN {lines} END")
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found"))
 
 
