@@ -73,3 +73,16 @@ def test_gate_finds_exactly_the_trigrams_of_templates():
         words = [str(r.randrange(10**3)) if w == "0" else r.choice([w, w.upper(), w.title()]) for w in g]
         text = r.choice(["", "x", "7", "\u00e9", " "]) + "".join(w + r.choice(["", " ", "-", ".\u00e9", "  "]) for w in words) + r.choice(["", "s", "1"])
         assert bool(gate.search(text)) == bool(trigrams & licenses.grams_of(licenses.words_of(text), 3, 3)), text
+
+
+def test_all_notices_of_a_line(spark):
+    mit, gpl, cc = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-SA 4.0."
+    far = " ".join(["word"] * 1000)
+    texts = [
+        f"{mit} {far} {gpl}", f"{gpl} {far} {mit}", f"{mit} {gpl}", f"{mit} {gpl} {cc}", f"{mit}\n{gpl}", f"{mit} {far} {mit}",
+        "Licensed under the MIT License or the Apache License, Version 2.0", "This project is licensed under the terms of the GNU General Public License, version 3",
+        "This project is licensed under the terms of the Apache License, Version 2.0",
+    ]
+    got = scan(spark, texts)
+    assert [got[i]["families"] for i in range(len(texts))] == ["gpl,mit", "gpl,mit", "gpl,mit", "cc,gpl,mit", "gpl,mit", "mit", "apache,mit", "gpl", "apache"]
+    assert [got[i]["n_confirmed"] for i in range(len(texts))] == [2, 2, 2, 3, 2, 1, 2, 1, 1]

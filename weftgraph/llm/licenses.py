@@ -16,7 +16,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import written
@@ -215,52 +215,89 @@ def _grams(words: str, n: int) -> str:
     return f"CASE WHEN size({words}) < {n} THEN array() ELSE transform(sequence(0, size({words}) - {n}), i -> array_join(slice({words}, i + 1, {n}), ' ')) END"
 
 
-def classify(paragraphs: DataFrame) -> DataFrame:
-    """paragraph, family, probability, similarity, confirmed for each distinct text in the column paragraph.
-
-    A long paragraph is classified by windows; the window of highest probability
-    for a family speaks for it.  family is `unknown` where no family is probable
-    enough; nothing is confirmed then.
-    """
-    spark = paragraphs.sparkSession
-    w, b, temperature, least = model()
-    names = [*TEMPLATES, UNKNOWN]
-    rows = paragraphs.select("paragraph").distinct().withColumn("words", F.expr(_normal("paragraph")))
-    starts = f"sequence(0, greatest(size(words) - {WINDOW} + {STEP - 1}, 0) div {STEP})"
-    windows = rows.select("paragraph", F.explode(F.expr(f"transform({starts}, k -> slice(words, k * {STEP} + 1, {WINDOW}))")).alias("words"))
-    windows = windows.distinct().withColumn("grams", F.expr("array_distinct(concat(" + ", ".join(_grams("words", n) for n in range(1, GRAM + 1)) + "))"))
-
+def _scores(windows: DataFrame) -> DataFrame:
+    """key, k, probability, family, similarity for the windows (key, k, words): the most probable family, and how much its templates share with the words."""
+    spark = windows.sparkSession
+    w, b, temperature, _ = model()
     table = spark.createDataFrame([(int(k), [float(x) for x in w[k]]) for k in np.flatnonzero(np.abs(w).max(axis=1) > 1e-6)], "bucket int, w array<double>")
-    hashed = windows.select("paragraph", "words", F.explode("grams").alias("gram")).withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
-    hashed = hashed.select("paragraph", "words", "bucket").distinct().join(F.broadcast(table), "bucket")
-    logits = hashed.groupBy("paragraph", "words").agg(*(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(names))))
-    z = [(F.col(f"z{k}") + float(b[k])) / temperature for k in range(len(names))]
+    buckets = "array_distinct(transform(concat(" + ", ".join(_grams("words", n) for n in range(1, GRAM + 1)) + f"), g -> cast(crc32(cast(g AS binary)) % {BUCKETS} AS int)))"
+    hashed = windows.select("key", "k", F.explode(F.expr(buckets)).alias("bucket")).join(F.broadcast(table), "bucket")
+    logits = hashed.groupBy("key", "k").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(len(TEMPLATES) + 1)))
+    z = [(F.col(f"z{c}") + float(b[c])) / temperature for c in range(len(TEMPLATES) + 1)]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
-    sure = F.array(*(F.struct((F.exp(z[k] - top) / total).alias("probability"), F.lit(names[k]).alias("family")) for k in range(len(TEMPLATES))))
-    best = logits.select("paragraph", "words", F.array_max(sure).alias("best")).select("paragraph", "words", "best.*")
-
-    grams = [(f, i, g, len(gs)) for f, texts in TEMPLATES.items() for i, t in enumerate(texts) for gs in [grams_of(words_of(t), GRAM, GRAM)] for g in gs]
-    forms = spark.createDataFrame(grams, "family string, form int, gram string, size int")
-    own = best.withColumn("grams", F.expr(f"array_distinct({_grams('words', GRAM)})"))
-    shared = own.select("paragraph", "words", "family", F.size("grams").alias("own"), F.explode("grams").alias("gram")).join(F.broadcast(forms), ["family", "gram"])
-    shared = shared.groupBy("paragraph", "words", "own", "form", "size").agg(F.count(F.lit(1)).alias("common"))
-    alike = shared.groupBy("paragraph", "words").agg(F.max(F.greatest(F.col("common") / F.col("size"), F.col("common") / F.col("own"))).alias("similarity"))
-    judged = best.join(alike, ["paragraph", "words"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    first = Window.partitionBy("paragraph").orderBy(F.desc(F.col("similarity") >= CONFIRMED), F.desc("probability"), "family", F.concat_ws(" ", "words"))
-    judged = judged.withColumn("n", F.row_number().over(first)).where("n = 1")
+    sure = F.array(*(F.struct((F.exp(z[c] - top) / total).alias("probability"), F.lit(f).alias("family")) for c, f in enumerate(TEMPLATES)))
+    best = logits.select("key", "k", F.array_max(sure).alias("best")).select("key", "k", "best.*")
+    own = windows.select("key", "k", F.expr(f"array_distinct({_grams('words', GRAM)})").alias("grams"))
+    shared = own.select("key", "k", F.size("grams").alias("own"), F.explode("grams").alias("gram")).join(F.broadcast(_template_grams(spark)), "gram")
+    shared = shared.groupBy("key", "k", "own", "family", "form", "size").agg(F.count(F.lit(1)).alias("common"))
+    alike = shared.groupBy("key", "k", "family").agg(F.max(F.greatest(F.col("common") / F.col("size"), F.col("common") / F.col("own"))).alias("similarity"))
+    return best.join(alike, ["key", "k", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
+def _template_grams(spark: SparkSession) -> DataFrame:
+    """family, form, gram, size (trigrams of the form), length (its words)."""
+    grams = [(f, i, g, len(gs), len(words_of(t))) for f, texts in TEMPLATES.items() for i, t in enumerate(texts) for gs in [grams_of(words_of(t), GRAM, GRAM)] for g in gs]
+    return spark.createDataFrame(grams, "family string, form int, gram string, size int, length int")
+
+
+def _notices(rows: DataFrame) -> DataFrame:
+    """key, k, words, family: stretches of the paragraphs (key, words) that hold CONFIRMED of the trigrams of a template; k counts down from -1.
+
+    A stretch is as long as the template and a quarter more, and begins with one
+    of its trigrams.
+    """
+    hits = rows.select("key", F.posexplode(F.expr(_grams("words", GRAM))).alias("at", "gram")).join(F.broadcast(_template_grams(rows.sparkSession)), "gram")
+    hits = hits.groupBy("key", "family", "form", "size", "length").agg(F.array_sort(F.collect_list(F.struct("at", "gram"))).alias("hits"))
+    # A hit of many is looked at with those after it, of which no more than `reach` are near enough.
+    reach = "cast(ceil(length * 1.25) AS int)"
+    near = f"array_distinct(transform(filter(slice(hits, i + 1, {reach}), y -> y.at + {GRAM} <= x.at + {reach}), y -> y.gram))"
+    starts = hits.withColumn("at", F.explode(F.expr(f"filter(transform(hits, (x, i) -> CASE WHEN size({near}) >= {CONFIRMED} * size THEN x.at END), at -> at IS NOT NULL)")))
+    spans = starts.select("key", "family", "at", F.expr(reach).alias("length")).distinct().groupBy("key").agg(F.collect_set(F.struct("at", "length", "family")).alias("spans"))
+    found = rows.join(spans, "key").select("key", F.posexplode(F.expr("transform(array_sort(spans), s -> named_struct('words', slice(words, s.at + 1, s.length), 'family', s.family))")).alias("k", "span"))
+    return found.select("key", (-1 - F.col("k")).alias("k"), "span.words", "span.family")
+
+
+def classify(paragraphs: DataFrame) -> DataFrame:
+    """paragraph, family, probability, similarity, confirmed, families for each distinct text in the column paragraph.
+
+    A long paragraph is classified by windows, and every stretch that holds most
+    of a template also by itself, so that a notice counts though another stands
+    next to it.  families has all confirmed families (family, probability), by
+    name; the most probable confirmed window, else stretch, speaks for the
+    paragraph.  family is `unknown` where no family is probable enough; nothing
+    is confirmed then.
+    """
+    least = model()[3]
+    rows = paragraphs.select("paragraph").distinct().withColumn("words", F.expr(_normal("paragraph"))).withColumn("key", F.unhex(F.sha2("paragraph", 256)))
+    starts = f"sequence(0, greatest(size(words) - {WINDOW} + {STEP - 1}, 0) div {STEP})"
+    windows = rows.select("key", F.posexplode(F.expr(f"transform({starts}, k -> slice(words, k * {STEP} + 1, {WINDOW}))")).alias("k", "words"))
+    notices = written(_notices(rows), "notices")
     named = F.col("probability") >= least
-    out = judged.select(
-        "paragraph",
-        F.when(named, F.col("family")).otherwise(UNKNOWN).alias("family"),
-        F.round("probability", 6).alias("probability"),
-        F.round("similarity", 6).alias("similarity"),
-        (named & (F.col("similarity") >= CONFIRMED)).alias("confirmed"),
+    judged = _scores(windows.unionByName(notices.select("key", "k", "words")))
+    # A stretch speaks for the family of its template only.
+    judged = judged.join(notices.select("key", "k", F.col("family").alias("meant")), ["key", "k"], "left").where("k >= 0 OR family = meant")
+    judged = judged.withColumn("confirmed", named & (F.col("similarity") >= CONFIRMED)).where("k >= 0 OR confirmed")
+    # By family first, so that a paragraph's windows are partial aggregates.
+    order = F.struct("confirmed", (F.col("k") >= 0).alias("window"), (F.col("similarity") >= CONFIRMED).alias("alike"), "probability", "similarity", "family")
+    best = judged.groupBy("key", "family").agg(F.max(order).alias("best"))
+    told = best.groupBy("key").agg(
+        F.max("best").alias("best"),
+        F.array_sort(F.collect_list(F.when(F.col("best.confirmed"), F.struct("family", F.round("best.probability", 6).alias("probability"))))).alias("families"),
+    )
+    out = told.select(
+        "key",
+        F.when(F.col("best.probability") >= least, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
+        F.round("best.probability", 6).alias("probability"),
+        F.round("best.similarity", 6).alias("similarity"),
+        F.col("best.confirmed").alias("confirmed"),
+        "families",
     )
     # A paragraph whose words have no weight at all has no row above.
-    return rows.select("paragraph").join(out, "paragraph", "left").select(
+    return rows.select("paragraph", "key").join(out, "key", "left").select(
         "paragraph", F.coalesce("family", F.lit(UNKNOWN)).alias("family"), F.coalesce("probability", F.lit(0.0)).alias("probability"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"),
+        F.coalesce("families", F.expr("cast(array() AS array<struct<family: string, probability: double>>)")).alias("families"),
     )
 
 
@@ -275,7 +312,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, number, paragraph, family, probability, similarity, confirmed: one row for each candidate paragraph."""
+    """row, doc_id, number, paragraph, family, probability, similarity, confirmed, families: one row for each candidate paragraph."""
     rows = _candidates(docs).select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.number", "x.paragraph")
     return rows.join(classify(rows), "paragraph")
 
@@ -284,19 +321,19 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, families, n_candidates, n_confirmed, probability for every row of docs (doc_id, text).
 
     families joins the confirmed families' names by commas, in order; it is empty
-    without any.  probability is the highest of a confirmed paragraph, else 0.  A
-    null text is an empty one, which has no candidates.  Repeated rows give equal
+    without any.  n_confirmed counts the confirmed families of every candidate
+    paragraph.  probability is the highest of a confirmed family, else 0.  A null
+    text is an empty one, which has no candidates.  Repeated rows give equal
     rows, null doc_ids are kept, other columns are ignored.
     """
     rows = written(_candidates(docs), "licences")
     found = rows.select("row", F.explode("found").alias("x")).select("row", "x.paragraph")
     judged = found.join(classify(found), "paragraph")
-    yes = F.col("confirmed")
     told = judged.groupBy("row").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(yes, F.col("family")))), ",").alias("families"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families.family")))), ",").alias("families"),
         F.count(F.lit(1)).alias("n_candidates"),
-        F.count(F.when(yes, F.lit(1))).alias("n_confirmed"),
-        F.max(F.when(yes, F.col("probability"))).alias("probability"),
+        F.sum(F.size("families")).alias("n_confirmed"),
+        F.max(F.array_max("families.probability")).alias("probability"),
     )
     out = rows.select("row", "doc_id").join(told, "row", "left")
     zero = F.lit(0).cast("long")
