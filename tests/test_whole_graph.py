@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.operators import traversal
 from weftgraph.plans import graph
 
 
@@ -77,3 +78,20 @@ def test_core(spark, small):
             break
         left = after
     assert ask(spark, small, "g16_core_whole") == sorted(left)
+
+
+def test_distances(spark, small):
+    pairs = small[1]
+    assert ask(spark, small, "g10_bfs_whole") == sorted(reached(pairs, min(a for a, _ in pairs)).items())
+    n = Counter(d for x in {x for p in pairs for x in p} for d in reached(pairs, x).values() if d)
+    # Farther than the steps of the filtered queries.
+    assert max(n) > 8 and ask(spark, small, "g11_path_lengths_whole") == sorted(n.items())
+
+
+def test_path_lengths_of_many_blocks(spark):
+    ring = [(i, (i + 1) % 1500) for i in range(1500)] + [(i, (i + 3) % 1500) for i in range(0, 1500, 2)] + [(7, 7)]
+    e = spark.createDataFrame(ring, "src long, dst long")
+    ids = spark.createDataFrame([(i,) for i in [*range(1500), 5, 9999]], "id long").coalesce(1)
+    n = Counter(d for x in range(1500) for d in reached(set(ring), x).values() if 0 < d <= 4)
+    assert sorted(map(tuple, traversal.path_lengths(e, ids, 4).collect())) == sorted(n.items())
+    assert traversal.path_lengths(e.limit(0), ids).count() == 0

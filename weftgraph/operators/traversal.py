@@ -34,9 +34,36 @@ def bfs_from(edges: DataFrame, sources: DataFrame, most: int | None = None) -> D
     return seen.select("source", "id", "distance")
 
 
-def path_lengths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """distance, n: how many pairs of a source and another vertex are so far apart."""
-    return bfs_from(edges, sources, most).where("distance > 0").groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+#: Sources in a row of path_lengths, 64 in each of its words.
+WORDS = 16
+
+
+def path_lengths(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """distance, n: how many pairs of a source and another vertex are so far apart, up to `most` steps.
+
+    A row stands for a vertex and a block of sources, with a bit for each source
+    that has reached it, so pairs are never rows.
+    """
+    spark, names = edges.sparkSession, [f"w{k}" for k in range(WORDS)]
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    # Numbers start anew in each partition, high bits apart, so that blocks are full but for the last of a partition.
+    numbered = cut(sources.select("id").where("id IS NOT NULL").distinct().withColumn("number", F.monotonically_increasing_id()))
+    bits, block = 64 * WORDS, F.floor(F.col("number") / (64 * WORDS))
+    bit = (F.col("number") % bits).cast("int")
+    own = [F.when(F.floor(bit / 64) == k, F.expr("shiftleft(1L, cast(number % 64 AS int))")).otherwise(F.lit(0).cast("long")) for k in range(WORDS)]
+    now = cut(numbered.select("id", block.alias("block"), *(w.alias(n) for n, w in zip(names, own, strict=True)), *(w.alias(f"new_{n}") for n, w in zip(names, own, strict=True))))
+    told, step = [], 0
+    while most is None or step < most:
+        step += 1
+        front = now.where(" OR ".join(f"new_{n} <> 0" for n in names)).select("id", "block", *(f"new_{n}" for n in names))
+        sent = e.join(front, e["src"] == front["id"]).groupBy(F.col("dst").alias("id"), "block").agg(*(F.bit_or(f"new_{n}").alias(f"got_{n}") for n in names))
+        both = now.select("id", "block", *names).join(sent, ["id", "block"], "full").na.fill(0, [*names, *(f"got_{n}" for n in names)])
+        now = cut(both.select("id", "block", *(F.expr(f"{n} | got_{n}").alias(n) for n in names), *(F.expr(f"got_{n} & ~{n}").alias(f"new_{n}") for n in names)))
+        n = now.agg(F.sum(F.expr(" + ".join(f"bit_count(new_{n})" for n in names)).cast("long"))).head()[0]
+        if not n:
+            break
+        told.append((step, n))
+    return spark.createDataFrame(told, "distance int, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:

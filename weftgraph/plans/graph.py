@@ -426,6 +426,18 @@ def g5_whole(spark, sf_dir):
     return statistics.reciprocity(whole(spark, sf_dir))
 
 
+@query("g10_bfs_whole")
+def g10_whole(spark, sf_dir):
+    e = whole(spark, sf_dir)
+    return traversal.bfs(e, e.agg(F.min("src")).head()[0])
+
+
+@query("g11_path_lengths_whole")
+def g11_whole(spark, sf_dir):
+    e = whole(spark, sf_dir)
+    return traversal.path_lengths(e, traversal.vertices(e))
+
+
 @query("g12_components_whole")
 def g12_whole(spark, sf_dir):
     return traversal.components(whole(spark, sf_dir))
