@@ -92,6 +92,12 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     have no tokens; null doc_ids count as empty text in hashes.  Other columns
     are ignored; an empty table gives no rows.
 
+    Documents are not cut, so a source ends before the first document, in its
+    permuted order, that does not fit into the rest of its budget.  It falls short
+    of its budget by less than that document's tokens.  A source of positive
+    weight is absent from the mix, with copies 0 throughout, if its budget allows
+    no whole pass and its first document is longer than the budget.
+
     Sources are pre-aggregated, and a source's documents are numbered in blocks,
     so no task holds a source; blocks are numbered by sums over the blocks before.
     """
