@@ -100,8 +100,8 @@ def interval_join(spark, sf_dir):
 @query("r_lateral_join", "SELECT s_suppkey, x FROM supplier, LATERAL (SELECT s_suppkey * 10 + i AS x FROM range(s_nationkey % 3) AS t(i))")
 def lateral_join(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").where("s_nationkey % 3 > 0")
-    inner = F.explode(F.sequence(F.lit(0), F.col("s_nationkey") % 3 - 1))
-    return s.select("s_suppkey", inner.alias("i")).select("s_suppkey", (F.col("s_suppkey") * 10 + F.col("i")).alias("x"))
+    inner = spark.tvf.explode(F.sequence(F.lit(0), F.col("s_nationkey").outer() % 3 - 1)).toDF("i")
+    return s.lateralJoin(inner).select("s_suppkey", (F.col("s_suppkey") * 10 + F.col("i")).alias("x"))
 
 
 @query("r_salted_join", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity * f), 2) AS q FROM lineitem JOIN (VALUES ('A', 1.0), ('N', 2.0)) AS t(g, f) ON l_returnflag = g GROUP BY l_returnflag")
@@ -123,6 +123,18 @@ def cross_join(spark, sf_dir):
     return load(spark, sf_dir, "region").crossJoin(load(spark, sf_dir, "nation").where("n_nationkey < 3")).select("r_name", "n_name")
 
 
+@query("r_cross_join_whole", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+def cross_join_whole(spark, sf_dir):
+    return load(spark, sf_dir, "region").crossJoin(load(spark, sf_dir, "nation")).select("r_name", "n_name")
+
+
+@query("r_shuffle_replicate_nl_join", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
+def shuffle_replicate_nl_join(spark, sf_dir):
+    # The hint makes a Cartesian product, so the tables are the small ones.
+    n = load(spark, sf_dir, "nation").hint("shuffle_replicate_nl")
+    return load(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name")
+
+
 _SEGMENTS = "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
 
 
@@ -333,6 +345,11 @@ def json_path(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.none").alias("missing"))
 
 
+@query("r_parse_json", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def parse_json(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
+
+
 @query("r_explode", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word, generate_subscripts(string_split(p_type, ' '), 1) - 1 AS at FROM part")
 def explode(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_type", " ")).alias("at", "word")).select("p_partkey", "word", F.col("at").cast("long").alias("at"))
