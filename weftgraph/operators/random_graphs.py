@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.scalars import hashed
 from weftgraph.operators.statistics import degree
-from weftgraph.sources.cut import cut
+from weftgraph.sources.cut import cut, drop
 
 #: Rows that are numbered in one task.
 NUMBERED = 65_536
@@ -151,7 +151,9 @@ def rewire(edges: DataFrame, seed: str, rounds: int) -> DataFrame:
         keep = F.col("c").isNull() | (F.col("bad") == 1)
         first = judged.select(F.col("a").alias("src"), F.when(F.coalesce(keep, F.lit(False)), F.col("b")).otherwise(F.col("d")).alias("dst"))
         second = judged.where("c IS NOT NULL").select(F.col("c").alias("src"), F.when(F.coalesce(keep, F.lit(False)), F.col("d")).otherwise(F.col("b")).alias("dst"))
-        now = cut(first.unionByName(second).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+        after = cut(first.unionByName(second).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+        drop(now, pairs)
+        now = after
     return now
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.scalars import hashed
 from weftgraph.operators.cleaning import both_ways
-from weftgraph.sources.cut import cut
+from weftgraph.sources.cut import cut, drop, least_labels
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -20,9 +20,13 @@ def bfs(edges: DataFrame, source: object, most: int | None = None) -> DataFrame:
 
 
 def bfs_from(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
-    """source, id, distance from each of `sources` (id); a frontier is extended until it is empty."""
-    e = edges.select("src", "dst").distinct()
-    seen = front = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")))
+    """source, id, distance from each of `sources` (id); a frontier is extended until it is empty.
+
+    The distinct edges are written once; a round reads them, the frontier and what
+    has been reached.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    seen = front = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")).distinct())
     step = 0
     while most is None or step < most:
         step += 1
@@ -31,6 +35,7 @@ def bfs_from(edges: DataFrame, sources: DataFrame, most: int | None = None) -> D
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    drop(e)
     return seen.select("source", "id", "distance")
 
 
@@ -58,33 +63,22 @@ def path_lengths(edges: DataFrame, sources: DataFrame, most: int | None = None)
         front = now.where(" OR ".join(f"new_{n} <> 0" for n in names)).select("id", "block", *(f"new_{n}" for n in names))
         sent = e.join(front, e["src"] == front["id"]).groupBy(F.col("dst").alias("id"), "block").agg(*(F.bit_or(f"new_{n}").alias(f"got_{n}") for n in names))
         both = now.select("id", "block", *names).join(sent, ["id", "block"], "full").na.fill(0, [*names, *(f"got_{n}" for n in names)])
-        now = cut(both.select("id", "block", *(F.expr(f"{n} | got_{n}").alias(n) for n in names), *(F.expr(f"got_{n} & ~{n}").alias(f"new_{n}") for n in names)))
+        after = cut(both.select("id", "block", *(F.expr(f"{n} | got_{n}").alias(n) for n in names), *(F.expr(f"got_{n} & ~{n}").alias(f"new_{n}") for n in names)))
+        drop(now)
+        now = after
         n = now.agg(F.sum(F.expr(" + ".join(f"bit_count(new_{n})" for n in names)).cast("long"))).head()[0]
         if not n:
             break
         told.append((step, n))
+    drop(e, numbered, now)
     return spark.createDataFrame(told, "distance int, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component: the smallest vertex of the connected component, directions ignored.
-
-    Large-star and small-star steps alternate (Kiveris et al. 2014) until edges
-    form stars; the edges never grow in number, and hubs are partial aggregates.
-    """
+    """id, component: the smallest vertex of the connected component, directions ignored."""
     ids = cut(vertices(edges))
-    now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Written, so that both sides of the join are dealt out for it and Spark can split a hub's rows.
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
-        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after = cut(small.where("a <> b").distinct())
-        if after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty():
-            return ids.join(now.select(F.col("a").alias("id"), F.col("b").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
-        now = after
+    found = least_labels(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return ids.join(found, ids["id"] == found["node"], "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
 def _spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
@@ -93,9 +87,11 @@ def _spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
     while True:
         sent = edges.join(now, edges["src"] == now["id"]).groupBy("dst").agg(F.min("mark").alias("m"))
         after = cut(now.join(sent, now["id"] == sent["dst"], "left").select("id", F.least("mark", "m").alias("mark")))
-        if after.join(now.withColumnRenamed("mark", "old"), "id").where("mark <> old").isEmpty():
-            return after
+        same = after.join(now.withColumnRenamed("mark", "old"), "id").where("mark <> old").isEmpty()
+        drop(now)
         now = after
+        if same:
+            return now
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -103,29 +99,32 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
     Vertices without an edge in or out among the rest are trimmed.  Then the least
     vertex that reaches each one colours it; going back from a colour's own vertex
-    within the colour gives one component for each colour in a round.
+    within the colour gives one component for each colour in a round, so a round
+    settles as many components as there are colours.
     """
     rest_e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     rest_v = cut(vertices(edges))
-    done = rest_v.limit(0).withColumn("component", F.col("id"))
+    done = rest_v.withColumn("component", F.col("id")).limit(0)
     while not rest_v.isEmpty():
         both = rest_e.select(F.col("src").alias("id")).intersect(rest_e.select(F.col("dst").alias("id")))
-        alone = cut(rest_v.join(both, "id", "left_anti"))
-        if not alone.isEmpty():
-            done = done.unionByName(alone.withColumn("component", F.col("id")))
-        else:
+        settled = cut(rest_v.join(both, "id", "left_anti").withColumn("component", F.col("id")))
+        used = []
+        if settled.isEmpty():
             colour = _spread(rest_e, rest_v.withColumn("mark", F.col("id")))
             c1, c2 = colour.select(F.col("id").alias("src"), F.col("mark").alias("x")), colour.select(F.col("id").alias("dst"), F.col("mark").alias("y"))
             own = cut(rest_e.join(c1, "src").join(c2, "dst").where("x = y").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            reached = front = cut(colour.where("id = mark"))
+            settled = front = cut(colour.where("id = mark").select("id", F.col("mark").alias("component")))
             while not front.isEmpty():
-                step = own.join(front, own["src"] == front["id"]).select(F.col("dst").alias("id"), "mark").distinct()
-                front = cut(step.join(reached, "id", "left_anti"))
-                reached = cut(reached.unionByName(front))
-            alone = reached.select("id")
-            done = done.unionByName(reached.select("id", F.col("mark").alias("component")))
-        rest_v = cut(rest_v.join(alone, "id", "left_anti"))
-        rest_e = cut(rest_e.join(alone.withColumnRenamed("id", "src"), "src", "left_anti").join(alone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+                step = own.join(front, own["src"] == front["id"]).select(F.col("dst").alias("id"), "component").distinct()
+                front = cut(step.join(settled, "id", "left_anti"))
+                settled = settled.unionByName(front)
+            used = [colour, own]
+        done = done.unionByName(settled)
+        gone = settled.select("id")
+        after_v = cut(rest_v.join(gone, "id", "left_anti"))
+        after_e = cut(rest_e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        drop(rest_v, rest_e, *used)
+        rest_v, rest_e = after_v, after_e
     return done
 
 
@@ -155,7 +154,10 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> Data
         sent = e.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         dangling = now.agg(F.coalesce(F.sum(F.when(~F.col("gives"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         rank = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))
-        now = cut(now.drop("rank").join(sent, "id", "left").join(F.broadcast(dangling)).select("id", "gives", rank.alias("rank")))
+        after = cut(now.drop("rank").join(sent, "id", "left").join(F.broadcast(dangling)).select("id", "gives", rank.alias("rank")))
+        drop(now)
+        now = after
+    drop(e)
     return now.select("id", F.round("rank", 8).alias("rank"))
 
 
@@ -182,9 +184,11 @@ def core(edges: DataFrame, k: int) -> DataFrame:
     while True:
         keep = now.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= k).select("id")
         after = cut(now.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-        if after.count() == now.count():
-            return now
+        same = after.count() == now.count()
+        drop(now)
         now = after
+        if same:
+            return now
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -195,26 +199,38 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
         votes = e.join(now.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         # The most frequent and then smallest label, as a partial aggregate: a hub's votes are not gathered.
         top = votes.groupBy(F.col("src").alias("id")).agg(F.max("n").alias("n"))
-        now = cut(votes.withColumnRenamed("src", "id").join(top, ["id", "n"]).groupBy("id").agg(F.min("label").alias("label")))
+        after = cut(votes.withColumnRenamed("src", "id").join(top, ["id", "n"]).groupBy("id").agg(F.min("label").alias("label")))
+        drop(now)
+        now = after
+    drop(e)
     return now
 
 
+#: Edges that are ranked in one task, about.
+RANKED = 65_536
+
+
 def walk(edges: DataFrame, starts: DataFrame, steps: int, seed: str) -> DataFrame:
     """start, step, id: uniform random walks along directed edges; one ends where no edge leads on.
 
     A step's hash takes one of the neighbours by their rank, so the walk does not
-    depend on the partitioning.
+    depend on the partitioning.  A hub's edges are ranked in blocks of a hash of the
+    neighbour, each in a task of its own, and the counts of the blocks before are added.
     """
-    e = edges.select("src", "dst").distinct()
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
-    ranked = e.withColumn("k", rank)
-    ranked = cut(ranked.join(e.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src"))
-    out = ranked.select("src", "out").distinct()
+    e = cut(edges.select("src", "dst").distinct())
+    out = cut(e.groupBy("src").agg(F.count(F.lit(1)).alias("out")))
+    blocks = F.floor((F.col("out") - 1) / RANKED) + 1
+    dealt = e.join(out, "src").withColumn("block", F.pmod(hashed(F.lit(seed), F.col("dst")), blocks))
+    sums = dealt.groupBy("src", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("src", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("src", "block").orderBy("dst")) - 1
+    ranked = cut(dealt.withColumn("k", inside).join(offsets, ["src", "block"]).select("src", (F.col("offset") + F.col("k")).alias("k"), "dst"))
     front = cut(starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id"))
     found = front
     for step in range(1, steps + 1):
         pick = front.join(out, front["id"] == out["src"]).withColumn("k", F.pmod(hashed(F.lit(seed), F.col("start"), F.lit(step)), F.col("out")))
         front = cut(pick.select("start", "src", "k").join(ranked, ["src", "k"]).select("start", F.lit(step).alias("step"), F.col("dst").alias("id")))
         found = found.unionByName(front)
+    drop(e, out, ranked)
     return found
-
