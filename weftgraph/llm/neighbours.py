@@ -1,6 +1,6 @@
 """Nearest neighbours with one vantage-point tree per shard.
 
-Vectors are dealt into shards by a hash of their id.  Each shard's tree splits
+Vectors are dealt into shards by a hash of their row.  Each shard's tree splits
 its vectors by their distance from a vantage point; a query skips a part whose
 least possible distance, by the triangle inequality, times `factor` is beyond
 its k-th best so far.  A factor of one gives exact results; a larger one prunes
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import Batches, lean
+from weftgraph.sources.cut import cut
 
 #: Vectors of a shard on average, of a leaf at most, and queries that walk a tree together.
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8192, 48, 512
@@ -27,10 +28,11 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A vantage-point tree over the rows of x with ids."""
+    """A vantage-point tree over the rows of x with ids and row numbers."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray):
+        self.ids, self.rows, self.x = ids, rows, x
+        self.compared = 0
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(ids)))
 
@@ -52,8 +54,8 @@ class Tree:
         self.nodes[here] = (rows[pick], (d[near].min(), d[near].max()), (d[far].min(), d[far].max()), inner, outer)
         return here
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of the k best for each query, itself left out; infinite where there are fewer."""
+    def search(self, query_rows: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids of the k best for each query, its own row left out; infinite where there are fewer."""
         best_d = np.full((len(q), k), np.inf)
         best_i = np.full((len(q), k), np.iinfo(np.int64).max)
         stack = [(self.root, np.arange(len(q)), np.zeros(len(q)))]
@@ -67,14 +69,16 @@ class Tree:
             if len(self.nodes[node]) == 1:
                 rows = self.nodes[node][0]
                 d = distances(q[active], self.x[rows])
+                self.compared += d.size
                 ids = np.broadcast_to(self.ids[rows], d.shape)
-                d = np.where(ids == query_ids[active][:, None], np.inf, d)
+                d = np.where(self.rows[rows][None, :] == query_rows[active][:, None], np.inf, d)
                 d, ids = np.concatenate([best_d[active], d], axis=1), np.concatenate([best_i[active], ids], axis=1)
                 order = np.lexsort((ids, d), axis=1)[:, :k]
                 best_d[active], best_i[active] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
                 continue
             vantage, (a, b), (c, e), inner, outer = self.nodes[node]
             d = distances(q[active], self.x[vantage : vantage + 1])[:, 0]
+            self.compared += len(d)
             in_least = np.maximum(least, np.maximum(d - b, a - d))
             out_least = np.maximum(least, np.maximum(d - e, c - d))
             both = [(inner, active, in_least), (outer, active, out_least)]
@@ -89,22 +93,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest other vectors of each row whose vec_id is divisible by `every`.
-
-    Rows whose vec_id or vector is null, and vectors that are empty, zero or hold
-    null or non-finite components, take no part.  A vec_id names one vector; of
-    several, the first in array order counts.  Vectors are compared with those of
-    the same length only.  Ties go to the smaller vec_id.  With fewer than k
-    others, all are returned.  Other columns are ignored.
+    """query_id, rank, vec_id, score: the k nearest other rows of each row whose vec_id is divisible by `every`.
+
+    Every row is a candidate, and a query but for its own row: rows that share a
+    vec_id, or are equal, are found and asked for one by one.  Rows whose vec_id or
+    vector is null, and vectors that are empty, zero or hold null or non-finite
+    components, take no part.  Vectors are compared with those of the same length
+    only.  Ties go to the smaller vec_id.  With fewer than k others, all are
+    returned; an empty table gives no rows.  Other columns are ignored.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad & F.exists("embedding", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    indexed = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(0).alias("query"), "vec_id", "embedding")
-    asked = rows.where(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("query"), "vec_id", "embedding")
-    dealt = indexed.unionByName(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "query", "vec_id")
+    # Written, so that a row keeps its number.
+    rows = cut(rows.withColumn("dim", F.size("embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    place = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    indexed = rows.select("dim", place.alias("shard"), F.lit(0).alias("query"), "row", "vec_id", "embedding")
+    asked = rows.where(F.col("vec_id") % every == 0).select("dim", every_shard.alias("shard"), F.lit(1).alias("query"), "row", "vec_id", "embedding")
+    # One shard for each task, by its number.
+    dealt = indexed.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("dim", "shard", "query", "row")
 
     @lean
     def search(batches: Batches) -> Batches:
@@ -116,18 +125,22 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, factor: float = 1
                 place, part = (cols[0][a], cols[1][a]), batch.slice(a, b - a)
                 if place != at:
                     at, held, tree = place, [], None
-                ids, x = part.column(3).to_numpy(), _matrix(part.column(4))
+                numbers, ids, x = part.column(3).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(5))
                 if not cols[2][a]:
-                    held.append((ids, x))
+                    held.append((ids, numbers, x))
                     continue
                 if not held:
                     continue
-                tree = tree or Tree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                tree = tree or Tree(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 for s in range(0, len(ids), QUERY_ROWS):
-                    d, i = tree.search(ids[s : s + QUERY_ROWS], x[s : s + QUERY_ROWS], k, factor)
+                    asked = slice(s, s + QUERY_ROWS)
+                    d, i = tree.search(numbers[asked], x[asked], k, factor)
                     full = np.isfinite(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[s : s + QUERY_ROWS], full.sum(axis=1))), pa.array(i[full]), pa.array(d[full])], ["query_id", "vec_id", "score"])
+                    found = full.sum(axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(numbers[asked], found)), pa.array(np.repeat(ids[asked], found)), pa.array(i[full]), pa.array(d[full])], ["row", "query_id", "vec_id", "score"]
+                    )
 
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = dealt.mapInArrow(search, "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -180,15 +180,14 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING
 """,
     "op8_vantage_point_neighbours": """
 WITH vectors AS (
-  SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, v.vec_id,
+  SELECT q.r, q.vec_id AS query_id, v.vec_id,
     sqrt(list_reduce(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
-  FROM vectors q JOIN vectors v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(q.e) = len(v.e))
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score
+  FROM vectors q JOIN vectors v ON q.vec_id % 100 = 0 AND v.r <> q.r AND len(q.e) = len(v.e))
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score
 FROM pairs QUALIFY rank <= 10
 """,
     "op10_url_filter": r"""
