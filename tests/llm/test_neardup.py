@@ -41,7 +41,7 @@ def test_same_as_brute_force(spark):
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
-    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
     rows = varied(2, 12, 80, 60)
     want = brute.near_duplicates(rows)
     assert {d: x for d, *x in got(spark, rows)} == {d: list(x) for d, x in want.items()}

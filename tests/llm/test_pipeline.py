@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from weftgraph.llm import secrets, toxicity
 from weftgraph.llm.mixing import mixture
 from weftgraph.llm.neardup import deduplicate
-from weftgraph.llm.shared import written
+from weftgraph.sources.cut import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def test_stages(spark):
     toxic = {r["doc_id"] for r in toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
     plain = {r["doc_id"]: r.asDict() for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
-        out = written(stage(spark, docs, SF), name)
+        out = cut(stage(spark, docs, SF), name)
         rows = out.collect()
         if name == "toxicity":
             assert toxic and out.columns == columns
@@ -58,8 +58,11 @@ def test_run_is_the_stages(spark):
 
 
 def test_deduplicate_odd_rows(spark):
-    text = "a b c d e f g h"
-    rows = [(3, text, "k"), (3, text, "k"), (2, text, "k"), (9, "other words", "k"), (9, "other words", "k"), (None, text, "k"), (None, None, "k")]
-    got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in got if r["text"]) == [(0, text), (2, text), (9, "other words")] and len(got) == 4
+    text, other = "a b c d e f g h", "p q r s t u v w"
+    rows = [
+        (3, text, "k"), (3, text, "k"), (2, text, "k"), (9, "other words", "k"), (9, "other words", "k"), (None, text, "k"), (None, None, "k"), (4, "", "k"), (4, "", "k"),
+        (2, other, "k"), (None, "n m l k j i", "k"), (None, "n m l k j i", "k"), (7, other, "k"),
+    ]
+    got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, "n m l k j i"), (2, text), (2, other), (4, ""), (4, ""), (9, "other words")]
     assert deduplicate(spark.createDataFrame([], "doc_id long, text string, kept string")).count() == 0

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import written
+from weftgraph.sources.cut import cut
 
 #: Hash buckets of n-grams of one to GRAM words.
 BUCKETS, GRAM = 4096, 3
@@ -272,7 +272,7 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     rows = paragraphs.select("paragraph").distinct().withColumn("words", F.expr(_normal("paragraph"))).withColumn("key", F.unhex(F.sha2("paragraph", 256)))
     starts = f"sequence(0, greatest(size(words) - {WINDOW} + {STEP - 1}, 0) div {STEP})"
     windows = rows.select("key", F.posexplode(F.expr(f"transform({starts}, k -> slice(words, k * {STEP} + 1, {WINDOW}))")).alias("k", "words"))
-    notices = written(_notices(rows), "notices")
+    notices = cut(_notices(rows), "notices")
     named = F.col("probability") >= least
     judged = _scores(windows.unionByName(notices.select("key", "k", "words")))
     # A stretch speaks for the family of its template only.
@@ -326,7 +326,7 @@ def scan(docs: DataFrame) -> DataFrame:
     text is an empty one, which has no candidates.  Repeated rows give equal
     rows, null doc_ids are kept, other columns are ignored.
     """
-    rows = written(_candidates(docs), "licences")
+    rows = cut(_candidates(docs), "licences")
     found = rows.select("row", F.explode("found").alias("x")).select("row", "x.paragraph")
     judged = found.join(classify(found), "paragraph")
     told = judged.groupBy("row").agg(

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import written
+from weftgraph.sources.cut import cut
 
 #: Documents of a block on average.
 BLOCK_DOCS = 512
@@ -124,8 +124,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _decided(docs: DataFrame, mix: Mix) -> DataFrame:
     rows = _keyed(docs).groupBy("doc_id", "source", "digest", "tokens").agg(F.count(F.lit(1)).alias("times"))
-    rows = written(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix")
-    sources = written(rows.groupBy("key").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.sum("times").alias("rows")), "sources")
+    rows = cut(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix")
+    sources = cut(rows.groupBy("key").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.sum("times").alias("rows")), "sources")
     power, total = exponent(sources.where("tokens > 0"), mix)
     budget = total if mix.budget is None else mix.budget
 
@@ -161,7 +161,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Rows with the same doc_id, source and text count as one document, whose other
     columns come from any of them.
     """
-    decided = written(_decided(docs, mix), "decided")
+    decided = cut(_decided(docs, mix), "decided")
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("k")
     copies = decided.select("*", k).withColumn("place", F.col("place") + F.col("k") * F.col("tokens"))
     copies = copies.groupBy("doc_id", "source", "digest").agg(F.sum(_copies()).alias("copies")).where("copies > 0")

@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import Batches, by_run, components, lean, written
+from weftgraph.llm.shared import Batches, by_run, lean
 from weftgraph.llm.shingles import constants, mix, shingle_sets, signatures, slices
+from weftgraph.sources.cut import cut, drop, least_labels, ship
 
 SYMBOLS, MOST, CHUNKS = 64, 33, 17
 #: Rows of a bucket, and shingles of a group, that are compared in one block.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 65_536
-#: Up to so many ids of documents to be compared in full are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Numbers that say which documents are compared in full, or go, are broadcast up to so many bytes; more are joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 128
 
 
 def _chunks() -> list[np.ndarray]:
@@ -186,44 +187,37 @@ def _in_blocks(df: DataFrame, of: str, blocks: F.Column) -> DataFrame:
     return df.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("nb", "other")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
-
-    Texts that are null, empty or blank have no shingles and are linked with
-    nothing; their component is their own doc_id.  Repeated rows are alike and
-    get equal results; a doc_id may come with several texts, each of which is a
-    document.  A null doc_id takes part in links, but names no component unless
-    nothing else does, and is not kept where its component has a name.  Columns
-    other than doc_id and text are ignored.  An empty table gives no rows.
-    """
+def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(described, told): doc_id, text_hash, n, h1, h2 of every row, and for each class (h1, h2) the row that stands for its component."""
+    ship(docs.sparkSession)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    described = written(docs.mapInArrow(_described, "doc_id long, text_hash long, n long, h1 long, h2 long, sig binary"), "described")
+    described = cut(docs.mapInArrow(_described, "doc_id long, text_hash long, n long, h1 long, h2 long, sig binary"), "described")
     # A row that stands for its class: one with a doc_id, if any has one.
     row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("row")
     classes = described.where("n > 0").groupBy("h1", "h2").agg(row, F.min("n").alias("n"), F.min("sig").alias("sig"))
-    classes = classes.select("h1", "h2", F.col("row.doc_id").alias("least"), F.col("row.text_hash").alias("text_hash"), "n", "sig")
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select("node", "sig").mapInArrow(_keyed, "key long, node long")
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
-    buckets = written(keyed.join(shared, "key"), "buckets")
-    low = written(classes.select("node", "sig").join(buckets.select("node").distinct(), "node", "left_semi").mapInArrow(_bytes_of, "node long, low binary"), "low")
+    buckets = cut(keyed.join(shared, "key"), "buckets")
+    low = cut(classes.select("node", "sig").join(buckets.select("node").distinct(), "node", "left_semi").mapInArrow(_bytes_of, "node long, low binary"), "low")
 
     star = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(low.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b").join(low.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a")
-    coarse = written(components(star.select("a", "b", "low_a", "low_b").mapInArrow(_near, "a long, b long")), "coarse")
+    coarse = cut(least_labels(star.select("a", "b", "low_a", "low_b").mapInArrow(_near, "a long, b long")), "coarse")
 
     placed = buckets.join(coarse, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("key", "rows")
     blocks = _in_blocks(placed.join(mixed, "key").join(low, "node"), "key", F.ceil(F.col("rows") / BLOCK_ROWS)).drop("rows")
     united = by_run(blocks, ["key", "i", "j"], _united, "a long, b long")
-    groups = written(components(coarse.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(united)), "groups").withColumnRenamed("label", "comp")
+    groups = cut(least_labels(coarse.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(united)), "groups")
+    drop(buckets, low, coarse)
 
-    members = groups.join(classes.select("node", "h1", "h2", "n", "least", "text_hash"), "node")
+    members = groups.withColumnRenamed("label", "comp").join(classes.select("node", "h1", "h2", "n", "row"), "node")
     sizes = members.groupBy("comp").agg(F.sum("n").alias("total"))
-    members = written(members.join(sizes, "comp"), "members")
-    wanted = members.select("h1", "h2", F.col("node"), "comp", "total", "least", F.col("text_hash").alias("its_hash"))
+    members = cut(members.join(sizes, "comp"), "members")
+    wanted = members.select("h1", "h2", F.col("node"), "comp", "total", F.col("row.doc_id").alias("least"), F.col("row.text_hash").alias("its_hash"))
 
     @lean
     def full(batches: Batches) -> Batches:
@@ -239,35 +233,60 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 whole = pa.array([s[offsets[k] : offsets[k + 1]].tobytes() for k in range(b - a)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("comp"), part.column("total"), whole], ["node", "comp", "total", "set"]).filter(pa.array(same))
 
-    if members.count() <= BROADCAST_ROWS:
+    if members.count() * ROW_BYTES <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("text_hash") == F.col("its_hash"))).select("text", "h1", "h2", "node", "comp", "total")
     sets = texts.mapInArrow(full, "node long, comp long, total long, set binary").dropDuplicates(["node"])
     blocks = _in_blocks(sets, "comp", F.ceil(F.col("total") / BLOCK_SHINGLES)).drop("total")
     links = by_run(blocks, ["comp", "i", "j"], _linked, "a long, b long")
-    final = written(components(links), "linked")
+    final = cut(least_labels(links), "linked")
+
+    named = final.join(classes.select("node", "row"), "node")
+    named = named.join(named.groupBy("label").agg(F.min("row").alias("first")), "label").select("node", "first")
+    told = cut(classes.select("node", "h1", "h2", "row").join(named, "node", "left").select("h1", "h2", F.coalesce("first", "row").alias("first")), "told")
+    drop(groups, members, final, classes)
+    return described, told
 
-    named = final.join(classes.select("node", "least"), "node")
-    named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
-    told = classes.select("node", "h1", "h2", "least").join(named, "node", "left").select("h1", "h2", F.coalesce("component_id", "least").alias("component_id"))
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+
+    Texts that are null, empty or blank have no shingles and are linked with
+    nothing; their component is their own doc_id.  Whole texts are read, however
+    long.  Repeated rows are alike and get equal results; a doc_id may come with
+    several texts, each of which is a document.  A null doc_id takes part in links,
+    but names no component unless nothing else does, and is not kept where its
+    component has a name.  Columns other than doc_id and text are ignored.  An
+    empty table gives no rows.
+    """
+    described, told = _judged(docs)
     out = described.select("doc_id", "n", "h1", "h2").join(told, ["h1", "h2"], "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    own = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, less those of which a near-duplicate with a smaller doc_id stays.
+    """The rows of docs, with all columns: one of each group of near-duplicates.
 
-    Rows of one doc_id count as one document, of which one row stays.  Rows with a
-    null doc_id cannot be told apart and all stay.
+    A document is a pair of doc_id and text.  Of a group, the document of smallest
+    doc_id stays, a null one only where the group has no other; of several texts
+    of that doc_id the one of least hash.  Of rows equal in both, the one of least
+    hash over all columns stays.  Rows without words are linked with nothing and
+    all stay.  An empty table gives no rows; columns may have any names.
     """
-    found = written(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    told = found.agg(F.count(F.when(~F.col("kept"), 1)).alias("gone"), F.max("rows").alias("rows")).head()
-    if told["gone"] <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    if (told["rows"] or 0) > 1:
-        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return kept
+    described, told = _judged(docs)
+    rows = described.where("n > 0").groupBy("doc_id", "text_hash", "h1", "h2").agg(F.count(F.lit(1)).alias("rows")).join(told, ["h1", "h2"])
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    found = cut(rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), stays.alias("stays"), "rows"), "found")
+    drop(described, told)
+    gone, repeated = found.where("NOT stays").select("d", "t"), found.where("stays AND rows > 1").select("d", "t")
+    n = found.agg(F.count_if(F.expr("NOT stays")), F.count_if(F.expr("stays AND rows > 1"))).head()
+    gone, repeated = (F.broadcast(x) if k * ROW_BYTES <= BROADCAST_BYTES else x for x, k in zip((gone, repeated), n, strict=True))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    kept = keyed.join(gone, same, "left_anti")
+    if n[1]:
+        one = kept.join(repeated, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(repeated, same, "left_anti").unionByName(one.select("row", "doc_id", "text_hash"))
+    return kept.select("row.*")

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import integers, pack, unpack
-from weftgraph.llm.shared import Batches, lean, written
+from weftgraph.llm.shared import Batches, lean
 from weftgraph.llm.shingles import slices, word_hashes
+from weftgraph.sources.cut import cut, ship
 
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Documents and postings of a shard at most (a longer document is a shard of its own), and documents of a block.
@@ -232,7 +233,7 @@ def search(docs: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL")
     nameless = docs.where("doc_id IS NULL")
     shards = max(1, -(-docs.count() // SHARD_DOCS))
-    index = written(_indexed(named.coalesce(shards)), "index")
+    index = cut(_indexed(named.coalesce(shards)), "index")
 
     @lean
     def frequencies(batches: Batches) -> Batches:
@@ -272,7 +273,7 @@ def search(docs: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     placed = asked.mapInArrow(asked_terms, "query long, term long").join(df, "term")
     queries = placed.groupBy("query").agg(F.collect_list(F.struct("term", "df")).alias("x"))
     queries = queries.select("query", F.col("x.term").alias("term"), F.col("x.df").alias("df"))
-    blocks = written(queries.mapInArrow(_packed_queries, "data binary"), "queries")
+    blocks = cut(queries.mapInArrow(_packed_queries, "data binary"), "queries")
 
     # Each block of queries visits every shard.
     groups = max(1, own["shards"])

@@ -1,75 +1,25 @@
-"""What the operators of this subpackage share: tables, written tables, runs of rows, components."""
+"""What the operators of this subpackage share: tables, runs of rows, lean Python workers."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
 import itertools
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def importable(spark: SparkSession) -> None:
-    """Puts this package's place on the path of Python workers, whatever folder the driver was started in."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+from weftgraph.sources.cut import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            named = tempfile.mkdtemp(prefix="weft-shared-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again.
-
-    This cuts the lineage, so a lost executor costs one reread and not the work
-    before it.  The files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    importable(spark)
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written(), when nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, root = spark._jvm, shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -130,31 +80,3 @@ def by_run(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.
         return itertools.chain.from_iterable(map(fn, runs(batches, keys)))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(over, schema)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of edges (a, b): label is the smallest node that is reachable.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014); each
-    keeps at most as many edges as there were, and the loop ends when the edges
-    form stars around their smallest nodes.  A hub's edges are never gathered:
-    the least neighbour is a partial aggregate, which a join brings back.
-    """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Written, so that both sides of the join are dealt out for it and Spark can split a hub's rows.
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
-        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        drop_written(least)
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a")
-        small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        after = written(small, "edges")
-        drop_written(large)
-        drop_written(least)
-        same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
-        drop_written(now)
-        now = after
-        if same:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

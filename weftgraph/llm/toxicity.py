@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import Batches, drop_written, lean, written
+from weftgraph.llm.shared import Batches, lean
 from weftgraph.llm.shingles import constants, mix, slices
+from weftgraph.sources.cut import cut, drop, ship
 
 #: Labelled rows that the model is fitted on at most, those of least hash of their doc_id.
 SAMPLE_ROWS = 12_000
@@ -196,11 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 toxic = batch.column(1).slice(a, b - a).to_numpy()[r]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(toxic.astype(np.int64))], ["h", "toxic"])
 
-    sample = written(sample, "labelled")
+    sample = cut(sample, "labelled")
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).head()
     if not total["toxic"] or total["toxic"] == total["n"]:
         share = total["toxic"] / total["n"] if total["n"] else 0.0
-        drop_written(sample)
+        drop(sample)
         return np.empty(0, np.uint64), np.r_[np.zeros(PATTERNS + 2), np.log((share + 1e-6) / (1 - share + 1e-6))]
     support = max(SUPPORT_ROWS, SUPPORT_SHARE * total["toxic"])
     base = total["toxic"] / total["n"]
@@ -217,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([row.astype(np.float32).tobytes() for row in x], pa.binary())], ["x"])
 
     rows = sorted(bytes(r["x"]) for r in sample.mapInArrow(seen, "x binary").collect())
-    drop_written(sample)
+    drop(sample)
     x = np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(np.float64)
     q, _ = label_model(x[:, : len(voters) + PATTERNS], x[:, -1])
     return voters, linear_classifier(x[:, :-1], q)
