@@ -13,8 +13,9 @@ from weftgraph.llm.bpe import round_trip
 from weftgraph.llm.mixing import mixed
 from weftgraph.llm.neardup import deduplicate
 from weftgraph.llm.queries import vocabulary
-from weftgraph.llm.shared import table, written
+from weftgraph.llm.shared import table
 from weftgraph.llm.toxicity import drop_toxic
+from weftgraph.sources.cut import cut
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each one returns is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
