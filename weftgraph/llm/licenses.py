@@ -1,13 +1,15 @@
 """Licence scanning with a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph that names a licence term or has three words in a row of a template
-is turned into hashed word n-grams.  A softmax regression, trained here on variants of the templates below and on
-near misses, gives a probability to each licence family and to an unknown
-class; its temperature and threshold are calibrated on variants held out of
-training.  A prediction stands only if the paragraph shares enough word
-trigrams with a template of the family.
-
-Each distinct paragraph is classified once.
+A text's paragraphs are parted by blank lines; within one, wrapped lines run on,
+and comment signs are no words.  A paragraph's windows of words are turned into
+hashed word n-grams.  A softmax regression, trained here on variants of the
+templates below and on near misses, gives a probability to each licence family
+and to an unknown class.  Its temperature and threshold are calibrated on
+templates that were left out of training.  A prediction stands only if the words
+share enough trigrams with a template of the family.
+
+Words without a trigram of any template cannot be confirmed, so only windows that
+hold one are classified, and each distinct window once.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ BUCKETS, GRAM = 4096, 3
 WINDOW, STEP = 60, 30
 #: Share of trigrams, of the template or of the paragraph, that confirms a family.
 CONFIRMED = 0.6
-#: A paragraph with any of these stems is a candidate, and so is one with a trigram of a template (see _forms).
-TERMS = r"(?i)licen[cs]|copyright|warrant|redistribut|creative|spdx|public.domain|\bcc\b"
-TERMS_IN_WORDS = r"licen[cs]|copyright|warrant|redistribut|creative|spdx|public domain|\bcc\b"
+#: Parts of the templates: each part is left out once when the classifier is calibrated.
+FOLDS = 4
+#: What parts paragraphs: a line without anything but blanks and comment signs.
+BLANK_LINE = r"\n[ \t\r]*(?:[#*/;%!>-]+[ \t\r]*)?(?=\n)"
 UNKNOWN = "unknown"
 
 #: Opening and short forms of common licences, by family.
@@ -142,33 +145,38 @@ def bucket(gram: str) -> int:
     return zlib.crc32(gram.encode()) % BUCKETS
 
 
-def examples(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Variants of all templates and near misses: hashed n-grams by row, and classes, the last being unknown.
+def _hashed(words: list[str]) -> np.ndarray:
+    row = np.zeros(BUCKETS, np.float32)
+    row[[bucket(g) for g in grams_of(words)]] = 1
+    return row
+
+
+def examples(seed: int, variants: int = 24, fold: int | None = None, left_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Variants of templates and near misses: hashed n-grams by row, and classes, the last being unknown.
 
     A variant leaves out or replaces some words and stands among words of no
-    meaning, which take random buckets.
+    meaning, which take random buckets.  With a fold, every text but those of the
+    fold, or with left_out only those; texts alternate between folds.
     """
     r = np.random.default_rng(seed)
-    known = [(t, k) for k, family in enumerate(TEMPLATES.values()) for t in family] + [(t, len(TEMPLATES)) for t in NEAR_MISSES]
+    known = [(t, k, i) for k, family in enumerate(TEMPLATES.values()) for i, t in enumerate(family)] + [(t, len(TEMPLATES), i) for i, t in enumerate(NEAR_MISSES)]
     x, y = [], []
-    for text, k in known:
-        for v in range(24):
+    for text, k, i in known:
+        if fold is not None and (i % FOLDS == fold) != left_out:
+            continue
+        for v in range(variants):
             words = words_of(text)
             if v:
                 keep = r.random(len(words)) > r.choice([0.0, 0.05, 0.15])
                 words = [w if kept else f"~{r.integers(10**9)}" for w, kept in zip(words, keep, strict=True) if kept or r.random() < 0.5]
                 around = [f"~{r.integers(10**9)}" for _ in range(r.choice([0, 3, 15, 40]))]
-                cut = r.integers(len(around) + 1)
-                words = around[:cut] + words + around[cut:]
-            row = np.zeros(BUCKETS, np.float32)
-            row[[bucket(g) for g in grams_of(words)]] = 1
-            x.append(row)
+                cut_at = r.integers(len(around) + 1)
+                words = around[:cut_at] + words + around[cut_at:]
+            x.append(_hashed(words))
             y.append(k)
-    for _ in range(400):
+    for _ in range(16 * variants):
         words = [f"~{r.integers(10**9)}" for _ in range(r.integers(1, WINDOW))] + list(r.choice(["license", "licensed", "copyright", "public", "version", "under", "the", "of", "0"], r.integers(1, 4)))
-        row = np.zeros(BUCKETS, np.float32)
-        row[[bucket(g) for g in grams_of(list(r.permutation(words)))]] = 1
-        x.append(row)
+        x.append(_hashed(list(r.permutation(words))))
         y.append(len(TEMPLATES))
     return np.array(x), np.array(y)
 
@@ -178,29 +186,47 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-@lru_cache(1)
-def model() -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Weights (buckets by classes), biases, temperature and least probability; the training set is fixed and small."""
-    x, y = examples(1)
+def _fitted(x: np.ndarray, y: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (buckets by classes) and biases; only buckets that occur are worked on."""
     classes = len(TEMPLATES) + 1
-    w, b, one = np.zeros((BUCKETS, classes), np.float32), np.zeros(classes, np.float32), np.eye(classes, dtype=np.float32)[y]
+    used = np.flatnonzero(x.any(axis=0))
+    part, one = np.ascontiguousarray(x[:, used]), np.eye(classes, dtype=np.float32)[y]
+    w, b = np.zeros((len(used), classes), np.float32), np.zeros(classes, np.float32)
     moment = np.zeros_like(w)
-    for _ in range(250):
-        error = (_softmax(x @ w + b) - one) / len(x)
-        moment = 0.9 * moment + x.T @ error + 1e-4 * w
+    for _ in range(rounds):
+        error = (_softmax(part @ w + b) - one) / len(part)
+        moment = 0.9 * moment + part.T @ error + 1e-4 * w
         w -= 0.5 * moment
         b -= 0.5 * error.sum(axis=0)
-    held, truth = examples(2)
-    scores = held @ w + b
+    whole = np.zeros((BUCKETS, classes), np.float32)
+    whole[used] = w
+    return whole, b
+
+
+@lru_cache(1)
+def model() -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Weights (buckets by classes), biases, temperature and least probability; the training set is fixed and small.
+
+    Temperature and threshold come from classifiers that have not seen the
+    templates which they judge.
+    """
+    scores, truth = [], []
+    for fold in range(FOLDS):
+        w, b = _fitted(*examples(1, 6, fold), rounds=120)
+        x, y = examples(2, 6, fold, left_out=True)
+        scores.append(x @ w + b)
+        truth.append(y)
+    scores, truth = np.concatenate(scores), np.concatenate(truth)
     at = np.arange(len(truth))
     temperature = min(np.linspace(0.3, 3, 28), key=lambda t: -np.log(_softmax(scores / t)[at, truth] + 1e-12).mean())
     p = _softmax(scores / temperature)
     guess, sure = p[:, :-1].argmax(axis=1), p[:, :-1].max(axis=1)
-    # The least probability at which 99 of 100 held-out predictions of a family are right.
+    # The least probability at which 99 of 100 predictions of a family are right.
     for least in np.linspace(0.3, 0.95, 14):
         named = sure >= least
         if named.any() and (guess[named] == truth[named]).mean() >= 0.99:
             break
+    w, b = _fitted(*examples(1), rounds=250)
     return w, b, float(temperature), float(least)
 
 
@@ -216,23 +242,23 @@ def _grams(words: str, n: int) -> str:
 
 
 def _scores(windows: DataFrame) -> DataFrame:
-    """key, k, probability, family, similarity for the windows (key, k, words): the most probable family, and how much its templates share with the words."""
+    """id, family, probability, similarity of the distinct windows (id, words): the most probable family, and how much its templates share with the words."""
     spark = windows.sparkSession
     w, b, temperature, _ = model()
     table = spark.createDataFrame([(int(k), [float(x) for x in w[k]]) for k in np.flatnonzero(np.abs(w).max(axis=1) > 1e-6)], "bucket int, w array<double>")
     buckets = "array_distinct(transform(concat(" + ", ".join(_grams("words", n) for n in range(1, GRAM + 1)) + f"), g -> cast(crc32(cast(g AS binary)) % {BUCKETS} AS int)))"
-    hashed = windows.select("key", "k", F.explode(F.expr(buckets)).alias("bucket")).join(F.broadcast(table), "bucket")
-    logits = hashed.groupBy("key", "k").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(len(TEMPLATES) + 1)))
+    hashed = windows.select("id", F.explode(F.expr(buckets)).alias("bucket")).join(F.broadcast(table), "bucket")
+    logits = hashed.groupBy("id").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(len(TEMPLATES) + 1)))
     z = [(F.col(f"z{c}") + float(b[c])) / temperature for c in range(len(TEMPLATES) + 1)]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
     sure = F.array(*(F.struct((F.exp(z[c] - top) / total).alias("probability"), F.lit(f).alias("family")) for c, f in enumerate(TEMPLATES)))
-    best = logits.select("key", "k", F.array_max(sure).alias("best")).select("key", "k", "best.*")
-    own = windows.select("key", "k", F.expr(f"array_distinct({_grams('words', GRAM)})").alias("grams"))
-    shared = own.select("key", "k", F.size("grams").alias("own"), F.explode("grams").alias("gram")).join(F.broadcast(_template_grams(spark)), "gram")
-    shared = shared.groupBy("key", "k", "own", "family", "form", "size").agg(F.count(F.lit(1)).alias("common"))
-    alike = shared.groupBy("key", "k", "family").agg(F.max(F.greatest(F.col("common") / F.col("size"), F.col("common") / F.col("own"))).alias("similarity"))
-    return best.join(alike, ["key", "k", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    best = logits.select("id", F.array_max(sure).alias("best")).select("id", "best.*")
+    own = windows.select("id", F.expr(f"array_distinct({_grams('words', GRAM)})").alias("grams"))
+    shared = own.select("id", F.size("grams").alias("own"), F.explode("grams").alias("gram")).join(F.broadcast(_template_grams(spark)), "gram")
+    shared = shared.groupBy("id", "own", "family", "form", "size").agg(F.count(F.lit(1)).alias("common"))
+    alike = shared.groupBy("id", "family").agg(F.max(F.greatest(F.col("common") / F.col("size"), F.col("common") / F.col("own"))).alias("similarity"))
+    return best.join(alike, ["id", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 def _template_grams(spark: SparkSession) -> DataFrame:
@@ -241,51 +267,49 @@ def _template_grams(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(grams, "family string, form int, gram string, size int, length int")
 
 
-def _notices(rows: DataFrame) -> DataFrame:
-    """key, k, words, family: stretches of the paragraphs (key, words) that hold CONFIRMED of the trigrams of a template; k counts down from -1.
+def _windows(rows: DataFrame) -> DataFrame:
+    """key, meant, words: what is classified of the paragraphs (key, words).
 
-    A stretch is as long as the template and a quarter more, and begins with one
-    of its trigrams.
+    Windows of WINDOW words that hold a trigram of a template, with a null meant,
+    and stretches that hold CONFIRMED of the trigrams of one template, with its
+    family.  A stretch is as long as the template and a quarter more, and begins
+    with one of its trigrams.  Only keys and places move until the words are cut.
     """
-    hits = rows.select("key", F.posexplode(F.expr(_grams("words", GRAM))).alias("at", "gram")).join(F.broadcast(_template_grams(rows.sparkSession)), "gram")
-    hits = hits.groupBy("key", "family", "form", "size", "length").agg(F.array_sort(F.collect_list(F.struct("at", "gram"))).alias("hits"))
+    hits = rows.select("key", F.size("words").alias("n"), F.posexplode(F.expr(_grams("words", GRAM))).alias("at", "gram")).join(F.broadcast(_template_grams(rows.sparkSession)), "gram")
+    hits = cut(hits, "hits")
+    last = f"greatest(n - {WINDOW} + {STEP - 1}, 0) div {STEP}"
+    first = F.explode(F.expr(f"filter(array(least(at div {STEP}, {last}), at div {STEP} - 1), k -> k >= 0 AND k * {STEP} + {WINDOW} >= at + {GRAM})"))
+    none = F.lit(None).cast("string")
+    whole = hits.select("key", "n", "at").distinct().select("key", first.alias("k")).distinct().select("key", (F.col("k") * STEP).alias("at"), F.lit(WINDOW).alias("length"), none.alias("meant"))
+    forms = hits.groupBy("key", "family", "form", "size", "length").agg(F.array_sort(F.collect_list(F.struct("at", "gram"))).alias("hits"))
     # A hit of many is looked at with those after it, of which no more than `reach` are near enough.
     reach = "cast(ceil(length * 1.25) AS int)"
     near = f"array_distinct(transform(filter(slice(hits, i + 1, {reach}), y -> y.at + {GRAM} <= x.at + {reach}), y -> y.gram))"
-    starts = hits.withColumn("at", F.explode(F.expr(f"filter(transform(hits, (x, i) -> CASE WHEN size({near}) >= {CONFIRMED} * size THEN x.at END), at -> at IS NOT NULL)")))
-    spans = starts.select("key", "family", "at", F.expr(reach).alias("length")).distinct().groupBy("key").agg(F.collect_set(F.struct("at", "length", "family")).alias("spans"))
-    found = rows.join(spans, "key").select("key", F.posexplode(F.expr("transform(array_sort(spans), s -> named_struct('words', slice(words, s.at + 1, s.length), 'family', s.family))")).alias("k", "span"))
-    return found.select("key", (-1 - F.col("k")).alias("k"), "span.words", "span.family")
+    starts = forms.withColumn("at", F.explode(F.expr(f"filter(transform(hits, (x, i) -> CASE WHEN size({near}) >= {CONFIRMED} * size THEN x.at END), at -> at IS NOT NULL)")))
+    spans = whole.unionByName(starts.select("key", F.col("at").cast("long"), F.expr(reach).alias("length"), F.col("family").alias("meant")))
+    spans = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("at", "length", "meant")).alias("spans"))
+    pieces = F.explode(F.expr("transform(spans, s -> named_struct('words', slice(words, cast(s.at AS int) + 1, s.length), 'meant', s.meant))"))
+    return rows.join(spans, "key").select("key", pieces.alias("x")).select("key", "x.meant", "x.words")
 
 
-def classify(paragraphs: DataFrame) -> DataFrame:
-    """paragraph, family, probability, similarity, confirmed, families for each distinct text in the column paragraph.
-
-    A long paragraph is classified by windows, and every stretch that holds most
-    of a template also by itself, so that a notice counts though another stands
-    next to it.  families has all confirmed families (family, probability), by
-    name; the most probable confirmed window, else stretch, speaks for the
-    paragraph.  family is `unknown` where no family is probable enough; nothing
-    is confirmed then.
-    """
+def _told(paragraphs: DataFrame) -> DataFrame:
+    """key, family, probability, similarity, confirmed, families of the distinct paragraphs (key, paragraph) with a trigram of a template."""
     least = model()[3]
-    rows = paragraphs.select("paragraph").distinct().withColumn("words", F.expr(_normal("paragraph"))).withColumn("key", F.unhex(F.sha2("paragraph", 256)))
-    starts = f"sequence(0, greatest(size(words) - {WINDOW} + {STEP - 1}, 0) div {STEP})"
-    windows = rows.select("key", F.posexplode(F.expr(f"transform({starts}, k -> slice(words, k * {STEP} + 1, {WINDOW}))")).alias("k", "words"))
-    notices = cut(_notices(rows), "notices")
-    named = F.col("probability") >= least
-    judged = _scores(windows.unionByName(notices.select("key", "k", "words")))
+    rows = paragraphs.groupBy("key").agg(F.first("paragraph").alias("paragraph")).select("key", F.expr(_normal("paragraph")).alias("words"))
+    text = F.array_join("words", " ")
+    places = cut(_windows(cut(rows, "paragraphs")).select("key", "meant", F.unhex(F.sha2(text, 256)).alias("id"), text.alias("text")), "windows")
+    judged = _scores(places.groupBy("id").agg(F.first("text").alias("text")).select("id", F.split("text", " ").alias("words")))
     # A stretch speaks for the family of its template only.
-    judged = judged.join(notices.select("key", "k", F.col("family").alias("meant")), ["key", "k"], "left").where("k >= 0 OR family = meant")
-    judged = judged.withColumn("confirmed", named & (F.col("similarity") >= CONFIRMED)).where("k >= 0 OR confirmed")
+    judged = places.select("key", "meant", "id").join(judged, "id").where("meant IS NULL OR family = meant")
+    judged = judged.withColumn("confirmed", (F.col("probability") >= least) & (F.col("similarity") >= CONFIRMED)).where("meant IS NULL OR confirmed")
     # By family first, so that a paragraph's windows are partial aggregates.
-    order = F.struct("confirmed", (F.col("k") >= 0).alias("window"), (F.col("similarity") >= CONFIRMED).alias("alike"), "probability", "similarity", "family")
+    order = F.struct("confirmed", F.col("meant").isNull().alias("window"), (F.col("similarity") >= CONFIRMED).alias("alike"), "probability", "similarity", "family")
     best = judged.groupBy("key", "family").agg(F.max(order).alias("best"))
     told = best.groupBy("key").agg(
         F.max("best").alias("best"),
         F.array_sort(F.collect_list(F.when(F.col("best.confirmed"), F.struct("family", F.round("best.probability", 6).alias("probability"))))).alias("families"),
     )
-    out = told.select(
+    return told.select(
         "key",
         F.when(F.col("best.probability") >= least, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
         F.round("best.probability", 6).alias("probability"),
@@ -293,8 +317,23 @@ def classify(paragraphs: DataFrame) -> DataFrame:
         F.col("best.confirmed").alias("confirmed"),
         "families",
     )
-    # A paragraph whose words have no weight at all has no row above.
-    return rows.select("paragraph", "key").join(out, "key", "left").select(
+
+
+def classify(paragraphs: DataFrame) -> DataFrame:
+    """paragraph, family, probability, similarity, confirmed, families for each distinct text in the column paragraph.
+
+    A paragraph is classified by windows, and every stretch that holds most of a
+    template also by itself, so that a notice counts though another stands next to
+    it.  families has all confirmed families (family, probability), by name; the
+    most probable confirmed window, else stretch, speaks for the paragraph.
+    family is `unknown` where no family is probable enough, and the probability 0
+    where the words have no trigram of a template; nothing is confirmed then.
+    Nulls are left out, repeats told once, other columns ignored, long texts read
+    whole; an empty table gives no rows.
+    """
+    rows = paragraphs.select(F.col("paragraph").cast("string").alias("paragraph")).where("paragraph IS NOT NULL").withColumn("key", F.unhex(F.sha2("paragraph", 256)))
+    rows = rows.groupBy("key").agg(F.first("paragraph").alias("paragraph"))
+    return rows.join(_told(rows), "key", "left").select(
         "paragraph", F.coalesce("family", F.lit(UNKNOWN)).alias("family"), F.coalesce("probability", F.lit(0.0)).alias("probability"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"),
         F.coalesce("families", F.expr("cast(array() AS array<struct<family: string, probability: double>>)")).alias("families"),
@@ -302,33 +341,36 @@ def classify(paragraphs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """row, doc_id and the numbered paragraphs with a licence term or a trigram of a template of every row."""
-    lines = f"filter(transform(split(text, '\\n'), (p, i) -> named_struct('number', i, 'paragraph', p)), x -> x.paragraph rlike '{TERMS}' OR x.paragraph rlike '{_forms()}' OR array_join({_normal('x.paragraph')}, ' ') rlike '{TERMS_IN_WORDS}')"
-    lines = lines.replace("\\b", "\\\\b")
+    """row, doc_id and the numbered paragraphs with a trigram of a template of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = F.expr(f"CASE WHEN text rlike '{TERMS.replace(chr(92) + 'b', chr(92) * 2 + 'b')}' OR text rlike '{_forms()}' THEN {lines} END")
+    forms, parted = F.lit(_forms()), F.split("text", BLANK_LINE)
+    numbered = F.transform(parted, lambda p, i: F.struct(i.alias("number"), p.alias("paragraph"), F.unhex(F.sha2(p, 256)).alias("key")))
+    found = F.when(F.rlike("text", forms), F.filter(numbered, lambda x: F.rlike(x["paragraph"], forms)))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """row, doc_id, number, paragraph, family, probability, similarity, confirmed, families: one row for each candidate paragraph."""
-    rows = _candidates(docs).select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.number", "x.paragraph")
-    return rows.join(classify(rows), "paragraph")
+    rows = cut(_candidates(docs), "licences").select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.*")
+    return rows.join(_told(rows), "key").drop("key")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, families, n_candidates, n_confirmed, probability for every row of docs (doc_id, text).
 
     families joins the confirmed families' names by commas, in order; it is empty
-    without any.  n_confirmed counts the confirmed families of every candidate
-    paragraph.  probability is the highest of a confirmed family, else 0.  A null
-    text is an empty one, which has no candidates.  Repeated rows give equal
-    rows, null doc_ids are kept, other columns are ignored.
+    without any.  n_candidates counts the paragraphs with a trigram of a template,
+    n_confirmed the confirmed families of every one of them.  probability is the
+    highest of a confirmed family, else 0.  A null or empty text has no candidates;
+    a long text is read whole, in windows.  Repeated rows give equal rows, and a
+    repeated paragraph is judged once; equally probable families are told by name.
+    Null doc_ids are kept, other columns are ignored, and an empty table gives no
+    rows.
     """
     rows = cut(_candidates(docs), "licences")
-    found = rows.select("row", F.explode("found").alias("x")).select("row", "x.paragraph")
-    judged = found.join(classify(found), "paragraph")
+    found = rows.select("row", F.explode("found").alias("x")).select("row", "x.key", "x.paragraph")
+    judged = found.select("row", "key").join(_told(found), "key")
     told = judged.groupBy("row").agg(
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families.family")))), ",").alias("families"),
         F.count(F.lit(1)).alias("n_candidates"),
