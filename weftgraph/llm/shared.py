@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 from weftgraph.sources.cut import ship
 
@@ -41,6 +42,14 @@ def lean(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return over
 
 
+def in_arrow(df: DataFrame, fn: Callable[[Batches], Batches], added: list[StructField] = []) -> DataFrame:  # noqa: B006
+    """fn over df's columns by place, whatever their names, which are df's again after it; `added` fields come last."""
+    ship(df.sparkSession)
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields, strict=True)] + added)
+    return df.toDF(*plain).mapInArrow(lean(fn), schema).toDF(*df.columns, *(f.name for f in added))
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys, from batches sorted by them; a batch's runs stay together."""
     held: list[pa.RecordBatch] = []

@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-A bounded sample of labelled rows gives voters: a lexicon of words, stems that
-are dense in a text, and patterns of its spelling.  A generative label model
-takes the true class as hidden; it estimates each voter's rates of firing in
-either class, the given label being one more voter that may err, and shrinks
-the say of voters that are correlated within a class.  Its posteriors train a
-linear classifier, which scores every whole text.
+Half of a bounded sample of labelled rows gives voters for the other half:
+lexicons of words, and of stems that are dense in a text; patterns of spelling
+vote beside them.  No row's label has a say in the voters that judge it, and no
+label is a voter.  A generative label model takes the class as hidden: it starts
+from the share of voters that fire and the share of toxic labels, and estimates
+by turns each voter's rates of firing in either class, the correlations between
+voters within the classes, and every row's posterior.  The posteriors, not the
+labels, train a linear classifier, which scores every whole text.
 """
 
 from __future__ import annotations
@@ -15,19 +17,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from weftgraph.llm.shared import Batches, lean
+from weftgraph.llm.shared import Batches, in_arrow, lean
 from weftgraph.llm.shingles import constants, mix, slices
 from weftgraph.sources.cut import cut, drop, ship
 
 #: Labelled rows that the model is fitted on at most, those of least hash of their doc_id.
 SAMPLE_ROWS = 12_000
-#: Voters at most, and the toxic rows, as a number and a share, in which one must fire.
-VOTERS, SUPPORT_ROWS, SUPPORT_SHARE = 300, 4, 0.02
-#: Share of toxic rows among those in which a voter fires, smoothed.
-PRECISION = 0.6
-#: Bytes of a stem, and the share of a text's words that must have it, twice at least.
-STEM_BYTES, STEM_SHARE = 6, 0.006
+#: Share of toxic rows among those in which a voter fires, and how many of all words and stems may be voters by chance (Chernoff's bound).
+PRECISION, CHANCE = 0.6, 1.0
+#: Characters of a stem, and the share of a text's words that must have it.
+STEM_CHARS, STEM_SHARE = 5, 0.006
 #: From this score on a text is toxic.
 THRESHOLD = 0.3
 
@@ -47,7 +48,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, stem hashes (0 for a word no longer than its stem), rows of the words; pattern shares by row."""
+    """Word hashes, stem hashes (0 for a word that is no longer), rows of the words; pattern shares by row."""
     n = len(texts)
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -80,9 +81,12 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     terms = _BYTE[data[at]] * constants(int(place.max()) + 1, 29)[place]
     first = np.searchsorted(at, begins)
     whole = mix(np.add.reduceat(terms, first))
-    stem = mix(np.add.reduceat(np.where(place < STEM_BYTES, terms, np.uint64(0)), first) ^ _STEM_SALT)
-    length = np.diff(np.r_[first, len(at)])
-    return whole, np.where(length > STEM_BYTES, stem, np.uint64(0)), np.searchsorted(offsets, begins, side="right") - 1, shares
+    # A character begins with a byte that does not continue another.
+    char = np.cumsum((data[at] & 0xC0) != 0x80)
+    char -= np.repeat(char[first], np.diff(np.r_[first, len(at)]))
+    stem = mix(np.add.reduceat(np.where(char < STEM_CHARS, terms, np.uint64(0)), first) ^ _STEM_SALT)
+    longer = char[np.r_[first[1:], len(at)] - 1] >= STEM_CHARS
+    return whole, np.where(longer, stem, np.uint64(0)), np.searchsorted(offsets, begins, side="right") - 1, shares
 
 
 def _fired(texts: pa.Array, voters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +111,7 @@ def _fired(texts: pa.Array, voters: np.ndarray | None = None) -> tuple[np.ndarra
         h, r = h[first], r[first]
         share = count / np.maximum(1, total[r])
         if is_stem:
-            dense = (share >= STEM_SHARE) & ((count >= 2) | (total[r] < 100))
+            dense = share >= STEM_SHARE
             h, r, share = h[dense], r[dense], share[dense]
         found.append((h, r, share))
     h, r, share = (np.concatenate([a, b]) for a, b in zip(*found, strict=True))
@@ -119,42 +123,62 @@ def _patterns(shares: np.ndarray) -> np.ndarray:
     return (shares > np.array([0.3, 0.005, 0.001, 0.01])).astype(np.float64)
 
 
-def _features(texts: pa.Array, voters: np.ndarray) -> np.ndarray:
-    """Votes of the voters and patterns, then how much of the text the voters' words make up, and how many fire."""
-    h, r, share, _, shares = _fired(texts, voters)
-    votes = np.zeros((len(texts), len(voters)))
-    at = np.searchsorted(voters, h)
-    votes[r, at] = 1
-    mass = np.bincount(r, share, minlength=len(texts))
-    many = np.stack([np.log1p(100 * mass), np.minimum(votes.sum(axis=1), 4)], axis=1)
-    return np.concatenate([votes, _patterns(shares), many], axis=1)
+class Lexicons:
+    """Word and stem hashes, each in a lexicon; a lexicon is one voter.  rates: how often it fired, in either class, where it was found."""
 
+    def __init__(self, hashes: np.ndarray, lexicon: np.ndarray, rates: tuple[np.ndarray, np.ndarray]):
+        order = np.argsort(hashes)
+        self.hashes, self.lexicon, self.rates = hashes[order], lexicon[order], rates
+        self.size = len(rates[0])
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the hidden class for each row, and the voters' shrunk say.
+    def votes(self, texts: pa.Array) -> np.ndarray:
+        """A column for each lexicon, then for each pattern: 1 where it fires; last, how much of the text the lexicons' words make up."""
+        h, r, share, _, shares = _fired(texts, self.hashes)
+        votes = np.zeros((len(texts), self.size))
+        votes[r, self.lexicon[np.searchsorted(self.hashes, h)]] = 1
+        return np.concatenate([votes, _patterns(shares), np.bincount(r, share, minlength=len(texts))[:, None]], axis=1)
 
-    EM over rates of firing in either class.  Correlations of what the rates
-    leave unexplained shrink a voter's say by how many others it goes with.
+
+def features(x: np.ndarray) -> np.ndarray:
+    """What the classifier sees of Lexicons.votes: the votes, and logarithms of the words' share and of how many fire."""
+    return np.column_stack([x[:, :-1], np.log1p(100 * x[:, -1]), np.log1p(x[:, :-1].sum(axis=1))])
+
+
+def _posterior(heard: np.ndarray, silent: np.ndarray, prior: float) -> np.ndarray:
+    """Posteriors from the rows' log odds beside the prior's; rows in which nothing fires share what the others leave of `prior`."""
+    q = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + heard, -30, 30)))
+    left = prior * len(q) - q[~silent].sum()
+    q[silent] = np.clip(left / max(1, silent.sum()), 1e-4, prior)
+    return q
+
+
+def label_model(votes: np.ndarray, prior: float, start: tuple[np.ndarray, np.ndarray], weight: tuple[float, float], rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the hidden class for each row; the voters' rates of firing in it and outside of it; their correlations.
+
+    EM over the rows' votes; no label of theirs is seen.  `start` has the rates that
+    other rows have shown, and `weight` the numbers of those rows, in either class;
+    they anchor what the class is.  A voter that does not fire abstains: toxic texts of one language are silent on
+    another's lexicon.  Rows without a vote take what is left of the mean `prior`.
+    Voters that go together beyond what the class explains repeat each
+    other: in a row, a voter's log odds are divided by its design effect, which is
+    one and the sum of its correlations with the others that fire there.
     """
-    seen = np.column_stack([labels, votes])
-    say = np.ones(seen.shape[1])
-    q = np.where(labels > 0, 0.97, 0.03)
-    prior = np.clip(labels.mean(), 1e-4, 1 - 1e-4)
-    for k in range(rounds):
-        on = (q @ seen + 0.5) / (q.sum() + 1)
-        off = ((1 - q) @ seen + 0.1) / ((1 - q).sum() + 1)
-        # The label errs sometimes, but it names the classes: without these bounds they could drift apart from it.
-        on[0], off[0] = np.clip(on[0], 0.8, 0.97), np.clip(off[0], 0.01, 0.1)
-        if k == rounds // 2:
-            rest = seen - np.outer(q, on) - np.outer(1 - q, off)
-            size = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            related = rest.T @ rest / len(rest) / np.outer(size, size)
-            np.fill_diagonal(related, 0)
-            say = 1 / (1 + np.where(related > 0.1, related, 0).sum(axis=1))
-        fires, not_ = np.log(on / off), np.log((1 - on) / (1 - off))
-        logit = np.log(prior / (1 - prior)) + seen @ (say * fires) + (1 - seen) @ (say * not_)
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return q, say
+    on, off = (np.clip(x, 1e-4, 1 - 1e-4) for x in start)
+    first_on, first_off, related = on, off, np.zeros((votes.shape[1],) * 2)
+    silent = ~votes.any(axis=1)
+    q = _posterior(votes @ np.maximum(0, np.log(on / off)), silent, prior)
+    for _ in range(rounds):
+        on = (q @ votes + weight[0] * first_on) / (q.sum() + weight[0])
+        off = ((1 - q) @ votes + weight[1] * first_off) / ((1 - q).sum() + weight[1])
+        rest = votes - np.outer(q, on) - np.outer(1 - q, off)
+        size = np.sqrt((rest**2).mean(axis=0)) + 1e-9
+        related = rest.T @ rest / len(rest) / np.outer(size, size)
+        np.fill_diagonal(related, 0)
+        # Correlations of a few rows are chance.
+        related = np.where(related > 3 / np.sqrt(len(votes)), related, 0.0)
+        said = votes * np.where(on > off, np.log(on / off), 0.0) / (1 + votes @ related)
+        q = _posterior(said.sum(axis=1), silent, prior)
+    return q, on, off, related
 
 
 def linear_classifier(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -174,83 +198,114 @@ def linear_classifier(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted voter hashes and classifier weights, from at most SAMPLE_ROWS labelled rows that are not held out.
+def _lexicons(found: list[tuple[int, ...]], toxic: int, clean: int) -> Lexicons:
+    """One lexicon for all hashes that fire in the same of the toxic and clean rows: rows (hash, toxic rows, rows, two sums over the rows)."""
+    if not found:
+        return Lexicons(np.empty(0, np.uint64), np.empty(0, np.int64), (np.empty(0), np.empty(0)))
+    rows = np.array([tuple(r) for r in found], np.int64)
+    kinds, lexicon = np.unique(rows[:, 1:], axis=0, return_inverse=True)
+    return Lexicons(rows[:, 0].view(np.uint64), lexicon.ravel(), ((kinds[:, 0] + 0.5) / (toxic + 1), (kinds[:, 1] - kinds[:, 0] + 0.1) / (clean + 1)))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicons, np.ndarray]:
+    """Lexicons and classifier weights, from at most SAMPLE_ROWS labelled rows that are not held out.
 
     Null labels and doc_ids are left out; a doc_id that is labelled more than once
     counts as toxic if any of its labels says so, and of its texts the first in
-    order is learned from.  Without labels of both kinds
-    there are no voters, and the bias alone gives the share of toxic labels.
+    order is learned from.  Without labels of both kinds in both halves there are
+    no lexicons, and the bias alone gives the share of toxic labels.
     """
+    ship(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # The sample is bounded, and so is what is broadcast and what is gathered.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    sample = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(2)).cast("long")
+    sample = cut(sample.select("text", "toxic", half.alias("half"), "doc_id"), "labelled")
+    totals = sample.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).collect()
+    n, toxic = sum(r["n"] for r in totals), sum(r["toxic"] for r in totals)
+    if len(totals) < 2 or any(r["toxic"] in (0, r["n"]) for r in totals):
+        drop(sample)
+        share = toxic / n if n else 0.0
+        return _lexicons([], 0, 0), np.r_[np.zeros(PATTERNS + 2), np.log((share + 1e-6) / (1 - share + 1e-6))]
 
     @lean
     def fires(batches: Batches) -> Batches:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 h, r, *_ = _fired(batch.column(0).slice(a, b - a))
-                toxic = batch.column(1).slice(a, b - a).to_numpy()[r]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(toxic.astype(np.int64))], ["h", "toxic"])
-
-    sample = cut(sample, "labelled")
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).head()
-    if not total["toxic"] or total["toxic"] == total["n"]:
-        share = total["toxic"] / total["n"] if total["n"] else 0.0
-        drop(sample)
-        return np.empty(0, np.uint64), np.r_[np.zeros(PATTERNS + 2), np.log((share + 1e-6) / (1 - share + 1e-6))]
-    support = max(SUPPORT_ROWS, SUPPORT_SHARE * total["toxic"])
-    base = total["toxic"] / total["n"]
-    count = sample.mapInArrow(fires, "h long, toxic long").groupBy("h").agg(F.sum("toxic").alias("on"), F.count(F.lit(1)).alias("all"))
-    count = count.where((F.col("on") >= support) & (F.col("on") + base >= PRECISION * (F.col("all") + 1)))
-    chosen = count.orderBy(F.desc("on"), "h").limit(VOTERS).select("h").collect()
-    voters = np.sort(np.array([x["h"] for x in chosen], np.int64).view(np.uint64))
-
-    @lean
-    def seen(batches: Batches) -> Batches:
-        for batch in batches:
-            for a, b in slices(batch.column(0)):
-                x = np.column_stack([_features(batch.column(0).slice(a, b - a), voters), batch.column(1).slice(a, b - a).to_numpy()])
-                yield pa.RecordBatch.from_arrays([pa.array([row.astype(np.float32).tobytes() for row in x], pa.binary())], ["x"])
-
-    rows = sorted(bytes(r["x"]) for r in sample.mapInArrow(seen, "x binary").collect())
+                own = [pa.array(batch.column(k).slice(a, b - a).to_numpy()[r].astype(np.int64)) for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *own], ["h", "toxic", "half", "doc_id"])
+
+    fired = sample.mapInArrow(fires, "h long, toxic long, half long, doc_id long")
+    places = [F.sum(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 40))).alias(f"place{k}") for k in (1, 2)]
+    count = fired.groupBy("half", "h").agg(F.sum("toxic").alias("on"), F.count(F.lit(1)).alias("all"), *places)
+    count = cut(count, "counted")
+    words = {r["half"]: r["count"] for r in count.groupBy("half").count().collect()}
+    chosen = F.lit(False)
+    precision = F.col("on") / F.col("all")
+    for r in totals:
+        base = r["toxic"] / r["n"]
+        clean = F.when(precision < 1, (1 - precision) * F.ln((1 - precision) / (1 - base))).otherwise(0.0)
+        chance = F.exp(-F.col("all") * (precision * F.ln(precision / base) + clean))
+        chosen |= (F.col("half") == r["half"]) & (precision >= max(PRECISION, base)) & (chance * words.get(r["half"], 0) <= CHANCE)
+    found = count.where(chosen).select("half", "h", "on", "all", "place1", "place2").orderBy("h").collect()
+    drop(count)
+    mined = {r["half"]: _lexicons([x[1:] for x in found if x["half"] == r["half"]], r["toxic"], r["n"] - r["toxic"]) for r in totals}
+    # For all texts to come: what either half has found.
+    every = _lexicons([r[1:] for r in {r["h"]: r for r in found}.values()], toxic, n - toxic)
+
+    def votes_of(lexicons: Lexicons, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        @lean
+        def seen(batches: Batches) -> Batches:
+            for batch in batches:
+                for a, b in slices(batch.column(0)):
+                    x = lexicons.votes(batch.column(0).slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([row.astype(np.float32).tobytes() for row in x], pa.binary())], ["doc_id", "x"])
+
+        got = sorted((r["doc_id"], bytes(r["x"])) for r in rows.select("text", "doc_id").mapInArrow(seen, "doc_id long, x binary").collect())
+        return np.array([i for i, _ in got]), np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(len(got), -1).astype(np.float64)
+
+    posterior = {}
+    for r in totals:
+        others = mined[1 - r["half"]]
+        ids, x = votes_of(others, sample.where(F.col("half") == r["half"]))
+        # The lexicons and, without rates from elsewhere, the patterns: these start as saying nothing.
+        silent = np.full(PATTERNS, 0.01)
+        q, *_ = label_model(x[:, :-1], r["toxic"] / r["n"], tuple(np.r_[rate, silent] for rate in others.rates), (toxic - r["toxic"], n - toxic - r["n"] + r["toxic"]))
+        posterior |= dict(zip(ids.tolist(), q.tolist(), strict=True))
+    ids, x = votes_of(every, sample)
     drop(sample)
-    x = np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(np.float64)
-    q, _ = label_model(x[:, : len(voters) + PATTERNS], x[:, -1])
-    return voters, linear_classifier(x[:, :-1], q)
+    return every, linear_classifier(features(x), np.array([posterior[i] for i in ids.tolist()]))
+
 
+def probabilities(texts: pa.Array, model: tuple[Lexicons, np.ndarray]) -> np.ndarray:
+    lexicons, weights = model
+    return 1 / (1 + np.exp(-np.clip(features(lexicons.votes(texts)) @ weights[:-1] + weights[-1], -30, 30)))
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "score") -> DataFrame:
-    """docs with all its columns and a last one of scores, from 0 to 1."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    voters, weights = model
-    fields = list(docs.schema.fields)
+def scored(docs: DataFrame, model: tuple[Lexicons, np.ndarray], name: str = "score") -> DataFrame:
+    """docs with all its columns and a last one of scores, from 0 to 1, of whole texts, null ones as empty ones."""
     at = docs.columns.index("text")
 
-    @lean
     def score(batches: Batches) -> Batches:
         for batch in batches:
             texts = batch.column(at).cast(pa.string())
-            out = [np.empty(0)]
-            for a, b in slices(texts):
-                x = _features(texts.slice(a, b - a), voters)
-                out.append(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
+            out = [np.empty(0), *(probabilities(texts.slice(a, b - a), model) for a, b in slices(texts))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(score, StructType([*fields, StructField(name, DoubleType())]))
+    return in_arrow(docs, score, [StructField(name, DoubleType())])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
 
-    Only texts are scored; an empty or null one gets the score of a text in which
-    nothing fires.  Repeated rows get equal rows, a null doc_id is not held out,
-    and columns other than doc_id and text are ignored.
+    Only texts are scored, whole ones however long; an empty or null one gets the
+    score of a text in which nothing fires.  Repeated rows get equal rows, a null
+    doc_id is not held out, a score equal to THRESHOLD is toxic, columns other than
+    doc_id and text are ignored, and an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     out = scored(rows, fit(docs, labels))
@@ -258,7 +313,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose text scores below THRESHOLD."""
+    """The rows of docs, with all columns, whose text scores below THRESHOLD.
+
+    Null and empty texts score as texts in which nothing fires.  Repeated rows stay
+    or go together, null doc_ids play no part, columns may have any names, and an
+    empty table gives no rows.
+    """
     name = "score"
     while name in docs.columns:
         name += "_"
