@@ -5,7 +5,8 @@ chunk gives its distinct words ranks by frequency and its texts become ranks.
 The distinct words go, packed, to as many word blocks as there are, by a hash,
 so that every distinct word meets all its chunks in one block.  There each
 distinct word is encoded once.  The ids go back to the chunks, where they are
-joined by position and, to decode, to the vocabulary's pieces.
+joined by position.  To decode, a chunk's distinct ids are joined to the table of
+pieces, and its texts are put together from what the join gives.
 
 A frequent word takes one place in each chunk, however often it occurs, so no
 key is hot; what moves is packed and compressed.
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import Batches, lean
+from weftgraph.sources.cut import ship
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 16 << 20
@@ -215,7 +217,7 @@ def vocabulary_pieces(path: str) -> list[bytes]:
 
 
 def _assembled(rows: DataFrame, schema: str, each) -> DataFrame:
-    """each(doc_ids, words in each text, ranks of the words, starts and ends by rank, ids) for every chunk."""
+    """each(chunk, doc_ids, words in each text, ranks of the words, starts and ends by rank, ids) for every chunk."""
 
     @lean
     def assemble(batches: Batches) -> Batches:
@@ -243,12 +245,13 @@ def _assembled(rows: DataFrame, schema: str, each) -> DataFrame:
                 ends = np.cumsum(counts, dtype=np.int64)
                 where = np.empty(len(of_block), np.int64)
                 where[np.argsort(of_block, kind="stable")] = np.arange(len(of_block))
-                yield from each(docs, lengths, ranks, (ends - counts)[where], ends[where], ids)
+                yield from each(chunk, docs, lengths, ranks, (ends - counts)[where], ends[where], ids)
 
     return rows.repartition("chunk").sortWithinPartitions("chunk", F.col("block").asc_nulls_last()).mapInArrow(assemble, schema)
 
 
 def _through(docs: DataFrame, path: str, schema: str, each) -> DataFrame:
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = min(max(docs.count() // BLOCK_DOCS, BLOCKS[0]), BLOCKS[1])
     return _assembled(_encoded(_chunked(docs, path, blocks), path, blocks), schema, each)
@@ -257,7 +260,7 @@ def _through(docs: DataFrame, path: str, schema: str, each) -> DataFrame:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids for every row of docs (doc_id, text); a null text is an empty one, which has no ids."""
 
-    def each(docs, lengths, ranks, starts, ends, ids):
+    def each(chunk, docs, lengths, ranks, starts, ends, ids):
         at = 0
         for doc_id, n in zip(docs, lengths.tolist(), strict=True):
             own = ranks[at : at + n]
@@ -269,46 +272,92 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _through(docs, path, "doc_id long, ids array<int>", each)
 
 
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """id, piece: a table that the vocabulary bounds."""
+    return spark.createDataFrame(list(enumerate(map(bytearray, vocabulary_pieces(path)))), "id int, piece binary")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text for every row of encoded (doc_id, ids), through a join of ids to pieces.
 
     Bytes that are no UTF-8 become U+FFFD; null ids give an empty text, and ids
     outside the vocabulary nothing.
     """
-    spark = encoded.sparkSession
-    pieces = spark.createDataFrame(list(enumerate(map(bytearray, vocabulary_pieces(path)))), "id int, piece binary")
     rows = encoded.select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id())
     placed = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("at", "id"))
-    joined = placed.join(F.broadcast(pieces), "id", "left").groupBy("row", "doc_id")
+    joined = placed.join(F.broadcast(_pieces(encoded.sparkSession, path)), "id", "left").groupBy("row", "doc_id")
     found = joined.agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("found"))
     data = F.aggregate("found", F.lit(b""), lambda s, x: F.concat(s, F.coalesce(x["piece"], F.lit(b""))))
     return found.select("doc_id", F.decode(data, "UTF-8").alias("text"))
 
 
+def _by_text(values: list, join: str | bytes, lengths: np.ndarray, ranks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[str | bytes]:
+    """Of each text, the joined values of its words; `values` has one for each id of each distinct word, and a word's are joined once."""
+    made = [join.join(values[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    at = 0
+    for n in lengths.tolist():
+        yield join.join([made[r] for r in ranks[at : at + n].tolist()])
+        at += n
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs (doc_id, text).
 
     ids_sha256 is over the decimal ids joined by commas, decoded_sha256 over the
     decoded text in UTF-8.  A null or empty text has no ids and decodes to an
-    empty text.  Rows are independent: repeated ones give equal rows, null doc_ids
-    are kept, other columns are ignored, an empty table gives no rows.
+    empty text.  Texts are read whole; a very long one is a chunk of its own.  Rows
+    are independent: repeated ones give equal rows, null doc_ids are kept, other
+    columns are ignored, an empty table gives no rows.
     """
 
-    def each(docs, lengths, ranks, starts, ends, ids):
-        pieces, size = vocabulary_pieces(path), ends - starts
-        bounds = list(zip(np.r_[0, np.cumsum(lengths)[:-1]].tolist(), np.cumsum(lengths).tolist(), strict=True))
+    def each(chunk, docs, lengths, ranks, starts, ends, ids):
+        wanted = np.unique(ids)
+        for a in range(0, len(wanted), 10_000):
+            part = wanted[a : a + 10_000].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part), *(pa.nulls(len(part), t) for t in kinds)], names)
+        sizes, bounds = ends - starts, np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+        n = [int(sizes[ranks[a:b]].sum()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        said = [str(i) for i in ids.tolist()]
+        told = [hashlib.sha256(x.encode()).hexdigest() for x in _by_text(said, ",", lengths, ranks, starts, ends)]
+        del said, sizes
+        parts = [np.ascontiguousarray(x, np.uint32) for x in (lengths, ranks, starts, ends, ids)]
+        data = b"".join([struct.pack("<5Q", *map(len, parts)), *parts])
+        whole = [pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), *(pa.array([x], t) for x, t in zip((docs, n, told, data), kinds, strict=True))]
+        del parts, data
+        yield pa.RecordBatch.from_arrays(whole, names)
+
+    names = ["chunk", "id", "docs", "n", "told", "data"]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()]
 
-        def by_text(values: list, join: str | bytes, digest) -> pa.Array:
-            """Of each text, the digest of the joined values of its words; a distinct word's value is made once."""
-            flat, starts_, ends_ = ids.tolist(), starts.tolist(), ends.tolist()
-            made = [join.join([values[i] for i in flat[a:b]]) for a, b in zip(starts_, ends_, strict=True)]
-            del flat, starts_, ends_
-            return pa.array([digest(join.join([made[r] for r in ranks[a:b].tolist()])) for a, b in bounds], pa.string())
-
-        n = pa.array([int(size[ranks[a:b]].sum()) for a, b in bounds], pa.int64())
-        left = by_text([str(i) for i in range(len(pieces))], ",", lambda x: hashlib.sha256(x.encode()).hexdigest())
-        # The join of ids to pieces.
-        right = by_text(pieces, b"", lambda x: hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), n, left, right], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _through(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", each)
+    @lean
+    def decoded(batches: Batches) -> Batches:
+        """A chunk's ids with their pieces come first, then the chunk."""
+        at, pieces = None, {}
+        for batch in batches:
+            chunks = batch.column(0).to_numpy()
+            whole = np.flatnonzero(pc.is_null(batch.column(1)).to_numpy(zero_copy_only=False))
+            before = 0
+            for k in [*whole, batch.num_rows]:
+                if before < k:
+                    # Rows of one chunk stay together, and chunks follow each other.
+                    if chunks[before] != at:
+                        at, pieces = chunks[before], {}
+                    pieces |= dict(zip(batch.column(1).slice(before, k - before).to_pylist(), batch.column(6).slice(before, k - before).to_pylist(), strict=True))
+                if k < batch.num_rows:
+                    if chunks[k] != at:
+                        at, pieces = chunks[k], {}
+                    raw = batch.column(5)[int(k)].as_buffer()
+                    sizes = struct.unpack_from("<5Q", raw)
+                    place, parts = 40, []
+                    for n in sizes:
+                        parts.append(np.frombuffer(raw, np.uint32, n, place))
+                        place += 4 * n
+                    *words, ids = parts
+                    texts = _by_text([pieces[i] for i in ids.tolist()], b"", *words)
+                    right = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in texts]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c)[int(k)].values for c in (2, 3, 4)), pa.array(right, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                before = k + 1
+
+    chunks = _through(docs, path, "chunk long, id int, docs array<long>, n array<long>, told array<string>, data binary", each)
+    joined = chunks.join(F.broadcast(_pieces(docs.sparkSession, path)), "id", "left").select(*names, "piece")
+    return joined.mapInArrow(decoded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
