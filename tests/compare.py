@@ -37,6 +37,7 @@ def same(spark, sf_dir: str, name: str, query, sql: str) -> None:
     want = rows(names, cur.fetchall())
     have = rows(got.columns, [tuple(r) for r in got.collect()])
     assert len(want) == len(have), (name, len(want), len(have))
+    assert have, (name, "no rows prove nothing")
     for a, b in zip(want, have, strict=True):
         for x, y in zip(a, b, strict=True):
             if isinstance(x, float) and isinstance(y, float):

@@ -15,5 +15,6 @@ def plan(spark, name, stage):
 def test_plans(spark):
     assert "LateralJoin" in plan(spark, "r_lateral_join", "analyzed")
     assert "parse_json" in plan(spark, "r_parse_json", "analyzed")
+    assert "BroadcastNestedLoopJoin" in plan(spark, "r_broadcast_nl_join", "executed") and "BroadcastHashJoin" in plan(spark, "r_broadcast_join", "executed")
     assert "CartesianProduct" in plan(spark, "r_shuffle_replicate_nl_join", "executed")
-    assert relational.QUERIES["r_cross_join_whole"](spark, SF).count() == 5 * 25
+    assert relational.QUERIES["r_cross_join"](spark, SF).count() == 5 * 25

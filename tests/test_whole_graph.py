@@ -1,4 +1,4 @@
-"""Queries of the directed graph of the whole table, against brute force on a small table."""
+"""Queries of the directed graph of parts, against brute force on a small table."""
 
 from __future__ import annotations
 
@@ -47,23 +47,23 @@ def ask(spark, small, name):
 
 
 def test_every_line_takes_part(spark, small):
-    assert sorted(map(tuple, graph.whole(spark, small[0]).collect())) == sorted(small[1])
+    assert sorted(map(tuple, graph.parts(spark, small[0]).collect())) == sorted(small[1])
 
 
 def test_components(spark, small):
     ids = {x for p in small[1] for x in p}
     near = small[1] | {(b, a) for a, b in small[1]}
-    assert ask(spark, small, "g12_components_whole") == sorted((x, min(reached(near, x))) for x in ids)
+    assert ask(spark, small, "g12_components") == sorted((x, min(reached(near, x))) for x in ids)
     to = {x: set(reached(small[1], x)) for x in ids}
     strong = {x: min(y for y in to[x] if x in to[y]) for x in ids}
-    assert ask(spark, small, "g13_strong_components_whole") == sorted(strong.items())
+    assert ask(spark, small, "g13_strong_components") == sorted(strong.items())
     size = defaultdict(int)
     for c in strong.values():
         size[c] += 1
     s = min(size, key=lambda c: (-size[c], c))
     weak = set(reached(near, s))
     part = {x: "core" if x in to[s] and s in to[x] else "in" if s in to[x] else "out" if x in to[s] else "tendril" if x in weak else "other" for x in ids}
-    assert ask(spark, small, "g20_bow_tie_whole") == sorted(part.items())
+    assert ask(spark, small, "g20_bow_tie") == sorted(part.items())
 
 
 def test_core(spark, small):
@@ -77,15 +77,15 @@ def test_core(spark, small):
         if after == left:
             break
         left = after
-    assert ask(spark, small, "g16_core_whole") == sorted(left)
+    assert ask(spark, small, "g16_core") == sorted(left)
 
 
 def test_distances(spark, small):
     pairs = small[1]
-    assert ask(spark, small, "g10_bfs_whole") == sorted(reached(pairs, min(a for a, _ in pairs)).items())
+    assert ask(spark, small, "g10_bfs") == sorted(reached(pairs, min(a for a, _ in pairs)).items())
     n = Counter(d for x in {x for p in pairs for x in p} for d in reached(pairs, x).values() if d)
     # Farther than the steps of the filtered queries.
-    assert max(n) > 8 and ask(spark, small, "g11_path_lengths_whole") == sorted(n.items())
+    assert max(n) > 8 and ask(spark, small, "g11_path_lengths") == sorted(n.items())
 
 
 def test_path_lengths_of_many_blocks(spark):

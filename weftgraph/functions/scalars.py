@@ -18,13 +18,13 @@ def site(name: Column) -> Column:
 
 def resolve(base: Column, href: Column) -> Column:
     """The target of a link on the page at `base`: absolute, protocol-relative, root-relative, fragment or relative to the folder."""
-    scheme = F.regexp_extract(base, "^([a-z]+):", 1)
-    origin = F.regexp_extract(base, "^([a-z]+://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, "(?i)^([a-z][a-z0-9+.-]*):", 1)
+    origin = F.regexp_extract(base, "(?i)^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
     page = F.regexp_extract(base, "^([^?#]*)", 1)
     # The folder ends with the last slash after the origin.
     folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
     return (
-        F.when(href.rlike("^[a-z][a-z0-9+.-]*:"), href)
+        F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("#") | (href == ""), F.concat(page, href))

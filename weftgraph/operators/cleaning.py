@@ -47,15 +47,26 @@ def incidence(pages: DataFrame) -> DataFrame:
     return links(pages).where("host IS NOT NULL").select(F.col("host").alias("left"), F.col("href").alias("right")).distinct()
 
 
+#: Left-hand vertices of a block: a right-hand vertex with more is dealt into pairs of blocks.
+BLOCK = 4096
+
+
 def project(pairs: DataFrame) -> DataFrame:
     """src < dst, weight: how many right-hand vertices two left-hand ones share.
 
     The result has a row for each pair with a common neighbour, so a right-hand
-    vertex of degree d adds d * (d - 1) / 2 rows before aggregation.
+    vertex of degree d adds d * (d - 1) / 2 rows before aggregation; no task has
+    more than the pairs of two blocks of them.
     """
     pairs = pairs.distinct()
-    a, b = pairs.select("right", F.col("left").alias("src")), pairs.select("right", F.col("left").alias("dst"))
-    return a.join(b, "right").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    blocks = pairs.groupBy("right").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).alias("blocks"))
+    dealt = pairs.join(blocks, "right").withColumn("block", F.pmod(F.xxhash64("left"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("right", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "left", "block")
+    a, b = dealt.withColumnsRenamed({"left": "src", "block": "x"}), dealt.withColumnsRenamed({"left": "dst", "block": "y"})
+    # Two of one block meet wherever the block does; they count where it meets itself.
+    met = a.join(b, ["right", "i", "j"]).where("src < dst AND (x <> y OR i = j)")
+    return met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def undirect(edges: DataFrame) -> DataFrame:

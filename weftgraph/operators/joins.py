@@ -40,9 +40,18 @@ def range_join(points: DataFrame, point: Column, ranges: DataFrame, low: Column,
     return p.join(r, "_bucket").where((point >= low) & (point < high)).drop("_bucket")
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: str, a_from: str, a_to: str, b_from: str, b_to: str) -> DataFrame:
-    """Pairs of the same key whose closed intervals overlap."""
-    return a.join(b, key).where((F.col(a_from) <= F.col(b_to)) & (F.col(b_from) <= F.col(a_to)))
+def overlaps(a: DataFrame, b: DataFrame, key: str, a_from: str, a_to: str, b_from: str, b_to: str, slice_of: Callable[[Column], Column]) -> DataFrame:
+    """Pairs of the same key whose closed intervals overlap.
+
+    slice_of maps a time to the whole number of its slice, in the same order.  An
+    interval is put into each slice that it meets, so a hot key is spread over its
+    slices; a pair is taken in the first slice that both meet.
+    """
+    def sliced(df: DataFrame, start: str, end: str, first: str) -> DataFrame:
+        return df.withColumn(first, slice_of(F.col(start))).withColumn("_slice", F.explode(F.sequence(F.col(first), F.greatest(first, slice_of(F.col(end))))))
+
+    met = sliced(a, a_from, a_to, "_a").join(sliced(b, b_from, b_to, "_b"), [key, "_slice"])
+    return met.where((F.col("_slice") == F.greatest("_a", "_b")) & (F.col(a_from) <= F.col(b_to)) & (F.col(b_from) <= F.col(a_to))).drop("_slice", "_a", "_b")
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int) -> DataFrame:

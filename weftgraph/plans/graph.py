@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.scalars import host, site
 from weftgraph.operators import cleaning, random_graphs, statistics, traversal
+from weftgraph.sources.cut import cut
 from weftgraph.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,10 +22,10 @@ inc AS (SELECT DISTINCT host AS l, href AS r FROM links),
 proj AS (SELECT a.l AS src, b.l AS dst, count(*)::BIGINT AS weight FROM inc a JOIN inc b ON a.r = b.r AND a.l < b.l GROUP BY ALL),
 both_ways AS (SELECT src, dst FROM proj UNION ALL SELECT dst, src FROM proj),
 deg AS (SELECT src AS id, count(*) AS degree FROM both_ways GROUP BY src),
-bulk AS (
+parts AS (
   SELECT DISTINCT src, dst FROM (
     SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
-    FROM lineitem WHERE l_quantity >= 40)
+    FROM lineitem)
   WHERE dst IS NOT NULL AND src <> dst)
 """
 
@@ -44,22 +45,11 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.project(cleaning.incidence(load(spark, sf_dir, "pages")))
 
 
-def _to_next(lines: DataFrame) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
-
-
-def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directed graph of parts: from one large line of an order to the next large one.
-
-    The filter bounds the recursive SQL; whole() is the graph of the whole table.
-    """
-    return _to_next(load(spark, sf_dir, "lineitem").where("l_quantity >= 40"))
-
-
-def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A directed graph of parts: from every line of an order to the next."""
-    return _to_next(load(spark, sf_dir, "lineitem"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return lines.where("dst IS NOT NULL AND src <> dst").distinct()
 
 
 def _distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +108,9 @@ def g1(spark, sf_dir):
     return statistics.degree(projection(spark, sf_dir))
 
 
-@query("g1_in_out_degree", "SELECT coalesce(o.id, i.id) AS id, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in FROM (SELECT src AS id, count(*) AS n FROM bulk GROUP BY src) o FULL JOIN (SELECT dst AS id, count(*) AS n FROM bulk GROUP BY dst) i ON o.id = i.id")
+@query("g1_in_out_degree", "SELECT coalesce(o.id, i.id) AS id, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in FROM (SELECT src AS id, count(*) AS n FROM parts GROUP BY src) o FULL JOIN (SELECT dst AS id, count(*) AS n FROM parts GROUP BY dst) i ON o.id = i.id")
 def g1_directed(spark, sf_dir):
-    return _in_out(bulk(spark, sf_dir))
-
-
-def _in_out(e: DataFrame) -> DataFrame:
+    e = parts(spark, sf_dir)
     zero = F.lit(0).cast("long")
     out = statistics.degree(e, "out").withColumnRenamed("degree", "n_out").join(statistics.degree(e, "in").withColumnRenamed("degree", "n_in"), "id", "full")
     return out.select("id", F.coalesce("n_out", zero).alias("n_out"), F.coalesce("n_in", zero).alias("n_in"))
@@ -144,9 +131,9 @@ def g4(spark, sf_dir):
     return statistics.summary(projection(spark, sf_dir))
 
 
-@query("g5_reciprocity", "SELECT count(*) AS edges, count(b.src) AS mutual, round(count(b.src) / count(*), 9) AS reciprocity FROM bulk a LEFT JOIN bulk b ON a.src = b.dst AND a.dst = b.src")
+@query("g5_reciprocity", "SELECT count(*) AS edges, count(b.src) AS mutual, round(count(b.src) / count(*), 9) AS reciprocity FROM parts a LEFT JOIN parts b ON a.src = b.dst AND a.dst = b.src")
 def g5(spark, sf_dir):
-    return statistics.reciprocity(bulk(spark, sf_dir))
+    return statistics.reciprocity(parts(spark, sf_dir))
 
 
 _TRIANGLES = ", tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM proj x JOIN proj y ON x.dst = y.src JOIN proj z ON z.src = x.src AND z.dst = y.dst)"
@@ -180,76 +167,75 @@ def g9(spark, sf_dir):
     return statistics.entropy(projection(spark, sf_dir))
 
 
-_BFS = ", start AS (SELECT min(src) AS s FROM bulk), walk(id, distance) AS (SELECT s, 0 FROM start UNION SELECT dst, distance + 1 FROM walk JOIN bulk ON src = id WHERE distance < 8)"
+_BFS = ", walk(id, distance) USING KEY (id) AS (SELECT min(src), 0 FROM parts UNION SELECT dst, min(distance) + 1 FROM walk JOIN parts ON src = id WHERE dst NOT IN (SELECT id FROM recurring.walk) GROUP BY dst)"
 
 
-@query("g10_bfs", _BFS + "SELECT id, min(distance)::INTEGER AS distance FROM walk GROUP BY id")
+@query("g10_bfs", _BFS + "SELECT id, distance FROM walk")
 def g10(spark, sf_dir):
-    e = bulk(spark, sf_dir)
-    return traversal.bfs(e, e.agg(F.min("src")).head()[0], 8)
+    e = cut(parts(spark, sf_dir))
+    return traversal.bfs(e, e.agg(F.min("src")).head()[0])
 
 
-_LENGTHS = ", walk(s, id, distance) AS (SELECT DISTINCT src, src, 0 FROM bulk WHERE src % 50 = 0 UNION SELECT s, dst, distance + 1 FROM walk JOIN bulk ON src = id WHERE distance < 5)"
+_LENGTHS = """, v AS (SELECT src AS id FROM parts UNION SELECT dst FROM parts), walk(s, id, distance) USING KEY (s, id) AS (
+SELECT id, id, 0 FROM v UNION
+SELECT n.s, n.dst, n.d FROM (SELECT s, dst, min(distance) + 1 AS d FROM walk JOIN parts ON src = id GROUP BY s, dst) n LEFT JOIN recurring.walk r ON r.s = n.s AND r.id = n.dst WHERE r.id IS NULL)"""
 
 
-@query("g11_path_lengths", _LENGTHS + "SELECT distance, count(*) AS n FROM (SELECT s, id, min(distance)::INTEGER AS distance FROM walk GROUP BY ALL) WHERE distance > 0 GROUP BY distance")
+@query("g11_path_lengths", _LENGTHS + "SELECT distance, count(*) AS n FROM walk WHERE distance > 0 GROUP BY distance")
 def g11(spark, sf_dir):
-    e = bulk(spark, sf_dir)
-    return traversal.path_lengths(e, e.where("src % 50 = 0").select(F.col("src").alias("id")).distinct(), 5)
+    e = cut(parts(spark, sf_dir))
+    return traversal.path_lengths(e, traversal.vertices(e))
 
 
-_WEAK = ", near AS (SELECT src, dst FROM bulk UNION SELECT dst, src FROM bulk), weak(id, c) AS (SELECT src, src FROM near UNION SELECT dst, c FROM weak JOIN near ON src = id WHERE dst > c)"
+_WEAK = ", near AS (SELECT src, dst FROM parts UNION SELECT dst, src FROM parts), weak(id, c) AS (SELECT src, src FROM near UNION SELECT dst, c FROM weak JOIN near ON src = id WHERE dst > c)"
 
 
 @query("g12_components", _WEAK + "SELECT id, min(c) AS component FROM weak GROUP BY id")
 def g12(spark, sf_dir):
-    return traversal.components(bulk(spark, sf_dir))
+    return traversal.components(cut(parts(spark, sf_dir)))
 
 
-_REACH = ", v AS (SELECT src AS id FROM bulk UNION SELECT dst FROM bulk), reach(a, b) AS (SELECT id, id FROM v UNION SELECT a, dst FROM reach JOIN bulk ON src = b), scc AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+_REACH = ", v AS (SELECT src AS id FROM parts UNION SELECT dst FROM parts), reach(a, b) AS (SELECT id, id FROM v UNION SELECT a, dst FROM reach JOIN parts ON src = b), scc AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 
 
 @query("g13_strong_components", _REACH + "SELECT * FROM scc")
 def g13(spark, sf_dir):
-    return traversal.strong_components(bulk(spark, sf_dir))
+    return traversal.strong_components(cut(parts(spark, sf_dir)))
 
 
 def _rank_sql(rounds: int) -> str:
-    out = ", ids AS (SELECT src AS id FROM bulk UNION SELECT dst FROM bulk), n AS (SELECT count(*)::DOUBLE AS n FROM ids), o AS (SELECT src, count(*) AS out FROM bulk GROUP BY src), r0 AS (SELECT id, 1.0 / n AS r FROM ids, n)"
+    out = ", ids AS (SELECT src AS id FROM parts UNION SELECT dst FROM parts), n AS (SELECT count(*)::DOUBLE AS n FROM ids), o AS (SELECT src, count(*) AS out FROM parts GROUP BY src), r0 AS (SELECT id, 1.0 / n AS r FROM ids, n)"
     for k in range(rounds):
         out += f""", r{k + 1} AS (
   SELECT i.id, 0.15 / n.n + 0.85 * (coalesce(g.got, 0.0) + coalesce((SELECT sum(r) FROM r{k} WHERE id NOT IN (SELECT src FROM o)), 0.0) / n.n) AS r
-  FROM ids i CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(r / out) AS got FROM bulk e JOIN r{k} ON r{k}.id = e.src JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = i.id)"""
+  FROM ids i CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(r / out) AS got FROM parts e JOIN r{k} ON r{k}.id = e.src JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = i.id)"""
     return out + f" SELECT id, round(r, 8) AS rank FROM r{rounds}"
 
 
 @query("g14_page_rank", _rank_sql(10))
 def g14(spark, sf_dir):
-    return traversal.page_rank(bulk(spark, sf_dir))
+    return traversal.page_rank(cut(parts(spark, sf_dir)))
 
 
 def _hits_sql(rounds: int) -> str:
-    out = ", ids AS (SELECT src AS id FROM bulk UNION SELECT dst FROM bulk), h0 AS (SELECT id, 1.0::DOUBLE AS h FROM ids)"
+    out = ", ids AS (SELECT src AS id FROM parts UNION SELECT dst FROM parts), h0 AS (SELECT id, 1.0::DOUBLE AS h FROM ids)"
     for k in range(1, rounds + 1):
-        out += f", x{k} AS (SELECT dst AS id, sum(h) AS a FROM bulk JOIN h{k - 1} ON id = src GROUP BY dst), a{k} AS (SELECT id, a / sqrt(sum(a * a) OVER ()) AS a FROM x{k})"
-        out += f", y{k} AS (SELECT src AS id, sum(a) AS h FROM bulk JOIN a{k} ON id = dst GROUP BY src), h{k} AS (SELECT id, h / sqrt(sum(h * h) OVER ()) AS h FROM y{k})"
+        out += f", x{k} AS (SELECT dst AS id, sum(h) AS a FROM parts JOIN h{k - 1} ON id = src GROUP BY dst), a{k} AS (SELECT id, a / sqrt(sum(a * a) OVER ()) AS a FROM x{k})"
+        out += f", y{k} AS (SELECT src AS id, sum(a) AS h FROM parts JOIN a{k} ON id = dst GROUP BY src), h{k} AS (SELECT id, h / sqrt(sum(h * h) OVER ()) AS h FROM y{k})"
     return out + f" SELECT ids.id, round(coalesce(h, 0.0), 8) AS hub, round(coalesce(a, 0.0), 8) AS authority FROM ids LEFT JOIN h{rounds} USING (id) LEFT JOIN a{rounds} USING (id)"
 
 
 @query("g15_hits", _hits_sql(5))
 def g15(spark, sf_dir):
-    return traversal.hits(bulk(spark, sf_dir))
+    return traversal.hits(cut(parts(spark, sf_dir)))
 
 
-_SPARSE = ", e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM bulk)"
-
-
-def _sparse(e: DataFrame) -> DataFrame:
-    return cleaning.undirect(e.withColumn("weight", F.lit(1))).select("src", "dst")
+_SPARSE = ", e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM parts)"
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sparse(bulk(spark, sf_dir))
+    """The graph of parts without directions."""
+    return cleaning.undirect(parts(spark, sf_dir).withColumn("weight", F.lit(1))).select("src", "dst")
 
 
 def _core_sql(k: int, rounds: int) -> str:
@@ -296,7 +282,7 @@ _BOW = _REACH + ", core AS (SELECT component FROM scc GROUP BY component ORDER B
     + ", w AS (SELECT id, min(c) AS c FROM weak GROUP BY id) SELECT v.id, CASE WHEN f.b IS NOT NULL AND t.a IS NOT NULL THEN 'core' WHEN t.a IS NOT NULL THEN 'in' WHEN f.b IS NOT NULL THEN 'out' WHEN w.c = (SELECT c FROM w JOIN one ON w.id = s) THEN 'tendril' ELSE 'other' END AS part FROM v LEFT JOIN (SELECT b FROM reach JOIN one ON a = s) f ON f.b = v.id LEFT JOIN (SELECT a FROM reach JOIN one ON b = s) t ON t.a = v.id JOIN w ON w.id = v.id",
 )
 def g20(spark, sf_dir):
-    return traversal.bow_tie(bulk(spark, sf_dir))
+    return traversal.bow_tie(cut(parts(spark, sf_dir)))
 
 
 @query("g21_top_k", "SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 10")
@@ -359,8 +345,20 @@ def n4(spark, sf_dir):
     return random_graphs.watts_strogatz(spark, 300, 4, 0.1, "ws")
 
 
-@query("n5_barabasi_albert")
+@query("n5_barabasi_albert", "SELECT r AS replica, 891::BIGINT AS edges, 891::BIGINT AS kinds, 300::BIGINT AS vertices, 1::BIGINT AS components, 3::BIGINT AS least, true AS older FROM range(4) AS t(r)", "")
 def n5(spark, sf_dir):
+    """What holds of every graph that grows by three edges a vertex: how many edges, no loops or repeats, all joined."""
+    e = cut(random_graphs.barabasi_albert(spark, 300, 3, "ba", 4))
+    apart = e.select("replica", (F.col("replica") * 300 + F.col("src")).alias("src"), (F.col("replica") * 300 + F.col("dst")).alias("dst"))
+    joined = traversal.components(apart).groupBy(F.floor(F.col("id") / 300).alias("replica")).agg(F.count(F.lit(1)).alias("vertices"), F.count_distinct("component").alias("components"))
+    # The first vertices start without edges; each later one brings three.
+    least = apart.where("dst - replica * 300 >= 3").groupBy("replica", "dst").agg(F.count(F.lit(1)).alias("n")).groupBy("replica").agg(F.min("n").alias("least"))
+    told = e.groupBy("replica").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src", "dst").alias("kinds"), F.every(F.col("src") < F.col("dst")).alias("older"))
+    return told.join(joined, "replica").join(least, "replica").select("replica", "edges", "kinds", "vertices", "components", "least", "older")
+
+
+@query("n5_barabasi_albert_edges")
+def n5_edges(spark, sf_dir):
     return random_graphs.barabasi_albert(spark, 300, 3, "ba", 4)
 
 
@@ -396,7 +394,7 @@ def n7(spark, sf_dir):
 
 
 def _walk_sql(steps: int) -> str:
-    out = ", r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS out FROM bulk), w0 AS (SELECT DISTINCT src AS start, 0 AS step, src AS id FROM bulk)"
+    out = ", r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS out FROM parts), w0 AS (SELECT DISTINCT src AS start, 0 AS step, src AS id FROM parts)"
     for i in range(1, steps + 1):
         out += f", w{i} AS (SELECT start, {i} AS step, dst AS id FROM w{i - 1} JOIN r ON src = id AND k = {_h(chr(39) + 'walk' + chr(39), 'start', str(i))} % out)"
     return out + " " + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(steps + 1))
@@ -404,75 +402,5 @@ def _walk_sql(steps: int) -> str:
 
 @query("n8_walk", _walk_sql(5))
 def n8(spark, sf_dir):
-    return _walks(bulk(spark, sf_dir))
-
-
-def _walks(e: DataFrame) -> DataFrame:
+    e = cut(parts(spark, sf_dir))
     return traversal.walk(e, e.select(F.col("src").alias("id")).distinct(), 5, "walk")
-
-
-# The directed graph of the whole table.  SQL that lists all pairs or repeats until nothing changes is too slow there: those have none.
-
-_WHOLE = _WITH.replace(" WHERE l_quantity >= 40", "")
-
-
-@query("g1_in_out_degree_whole", SQL["g1_in_out_degree"].removeprefix(_WITH), _WHOLE)
-def g1_whole(spark, sf_dir):
-    return _in_out(whole(spark, sf_dir))
-
-
-@query("g5_reciprocity_whole", SQL["g5_reciprocity"].removeprefix(_WITH), _WHOLE)
-def g5_whole(spark, sf_dir):
-    return statistics.reciprocity(whole(spark, sf_dir))
-
-
-@query("g10_bfs_whole")
-def g10_whole(spark, sf_dir):
-    e = whole(spark, sf_dir)
-    return traversal.bfs(e, e.agg(F.min("src")).head()[0])
-
-
-@query("g11_path_lengths_whole")
-def g11_whole(spark, sf_dir):
-    e = whole(spark, sf_dir)
-    return traversal.path_lengths(e, traversal.vertices(e))
-
-
-@query("g12_components_whole")
-def g12_whole(spark, sf_dir):
-    return traversal.components(whole(spark, sf_dir))
-
-
-@query("g13_strong_components_whole")
-def g13_whole(spark, sf_dir):
-    return traversal.strong_components(whole(spark, sf_dir))
-
-
-@query("g14_page_rank_whole", _rank_sql(10), _WHOLE)
-def g14_whole(spark, sf_dir):
-    return traversal.page_rank(whole(spark, sf_dir))
-
-
-@query("g15_hits_whole", _hits_sql(5), _WHOLE)
-def g15_whole(spark, sf_dir):
-    return traversal.hits(whole(spark, sf_dir))
-
-
-@query("g16_core_whole")
-def g16_whole(spark, sf_dir):
-    return traversal.core(_sparse(whole(spark, sf_dir)), 3)
-
-
-@query("g20_bow_tie_whole")
-def g20_whole(spark, sf_dir):
-    return traversal.bow_tie(whole(spark, sf_dir))
-
-
-@query("n6_rewired_whole", _rewire_sql(2), _WHOLE)
-def n6_whole(spark, sf_dir):
-    return random_graphs.rewire(_sparse(whole(spark, sf_dir)), "rw", 2)
-
-
-@query("n8_walk_whole", _walk_sql(5), _WHOLE)
-def n8_whole(spark, sf_dir):
-    return _walks(whole(spark, sf_dir))
