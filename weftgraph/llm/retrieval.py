@@ -5,11 +5,14 @@ how often.  Queries are packed into blocks, which visit every shard; statistics
 are those of the whole table, so a score is the same in any shard and the
 shards' best are merged exactly.
 
-In a shard the pivot test of block-max WAND is made for many documents at once.
-Rare words' postings are added up.  For each frequent word the index has the
-largest weight in each block of documents; a document can be skipped if its sum
-so far and its block's maxima stay below the k-th best score known.  What is
-left is scored in full.
+In a shard every word's postings are cut where blocks of documents end, and each
+piece has its largest weight.  A query adds up its words' largest weights in each
+block; blocks whose sum is below the k-th best score known are skipped with all
+their postings.  The others are taken from the largest sum down, some at a time.
+In a block, words come in the order of their largest weights: those before the
+pivot, where the running sum reaches the k-th best score, cannot lift a document
+over it by themselves.  So the postings from the pivot on name the candidates,
+and the others are read only where a candidate can still get there.
 
 Weights are rounded to millionths and added as integers, so sums and ties do
 not depend on the order of addition.
@@ -30,11 +33,13 @@ from weftgraph.sources.cut import cut, ship
 
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Documents and postings of a shard at most (a longer document is a shard of its own), and documents of a block.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 16_384, 4_000_000, 128
-#: A word is frequent in a shard if one in so many documents holds it.
-FREQUENT = 6
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 16_384, 4_000_000, 16
+#: Blocks that are read first, and by how much more each time.
+FIRST_BLOCKS, MORE_BLOCKS = 8, 4
 #: Numbers of up to so many shards are broadcast; more are joined by a shuffle.
 BROADCAST_SHARDS = 1_000_000
+#: Where a block's words are parted, by the running sum of their largest weights as a share of the k-th best score; the first is the pivot.
+PIVOTS = (0.6, 0.4, 0.2, 0.0)
 #: Queries that visit a shard together, about.
 QUERY_BLOCK = 256
 
@@ -73,11 +78,27 @@ class _Builder:
         self.words += int(length.sum())
 
     def index(self) -> tuple[np.ndarray, np.ndarray, bytes]:
-        """Sorted words, how many documents hold each, and all of it packed."""
+        """Sorted words, how many documents hold each, and all of it packed.
+
+        Documents are numbered by their most frequent word, then by their length: so
+        those of one language or topic share blocks, and a block's largest weights
+        are of documents alike.
+        """
         h, row, count = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts = []
-        # Rows come in order, so a stable sort by word leaves each word's rows in order.
-        order = np.argsort(h, kind="stable")
+        lengths, ids = np.concatenate(self.lengths), np.concatenate(self.ids)
+        own, first = np.unique(row, return_index=True)
+        usual = np.zeros(self.docs, np.uint64)
+        if len(own):
+            most = np.repeat(np.maximum.reduceat(count, first), np.diff(np.r_[first, len(row)]))
+            usual[own] = np.minimum.reduceat(np.where(count == most, h, np.uint64(2**64 - 1)), first)
+            del most
+        by = np.lexsort((ids, lengths, usual))
+        lengths, ids = lengths[by], ids[by]
+        number = np.empty(self.docs, np.uint32)
+        number[by] = np.arange(self.docs, dtype=np.uint32)
+        row = number[row]
+        order = np.lexsort((row, h))
         h = h[order]
         row = row[order]
         count = count[order]
@@ -87,7 +108,6 @@ class _Builder:
         step = row.copy()
         step[1:] -= row[:-1]
         step[first] = row[first]
-        lengths, ids = np.concatenate(self.lengths), np.concatenate(self.ids)
         return h[first], df, pack(_longs(ids.view(np.uint64)), lengths, _longs(h[first]), df, step, count)
 
 
@@ -133,14 +153,20 @@ class Shard:
         total -= np.repeat(before, df)
         self.doc = total.view(np.int32)
         self.norm = K1 * (1 - B + B * integers(lengths) / average)
-        n = len(self.ids)
-        self.frequent = np.flatnonzero(df * FREQUENT >= n) if n >= 4 * BLOCK_DOCS else np.empty(0, np.int64)
-        self.dense_of = np.full(len(self.words), -1)
-        self.dense_of[self.frequent] = np.arange(len(self.frequent))
-        self.dense = np.zeros((len(self.frequent), n), np.int32)
-        self.block_max = np.zeros((len(self.frequent), -(-n // BLOCK_DOCS)), np.int64)
+        self.blocks = -(-len(self.ids) // BLOCK_DOCS)
+        block = self.doc // BLOCK_DOCS
+        new = np.r_[True, block[1:] != block[:-1]] if len(block) else np.empty(0, bool)
+        new[self.start[:-1]] = True
+        # Pieces of postings: where they begin, their blocks, their largest weights; and where each word's pieces begin.
+        self.begin = np.flatnonzero(new).astype(np.int32)
+        self.block = block[self.begin].astype(np.int32)
+        del block, new
+        self.largest = np.zeros(len(self.begin), np.int32)
+        self.piece = np.searchsorted(self.begin, self.start)
+        self.begin = np.r_[self.begin, np.int32(len(self.doc))]
         self.weight = np.zeros(len(self.doc), np.int32)
         self.known = np.zeros(len(self.words), bool)
+        self.read = 0
 
     def learn(self, found: np.ndarray, idf: np.ndarray) -> None:
         """Weights of the words at `found`, which no query changes: they are computed once."""
@@ -148,50 +174,80 @@ class Shard:
         found, idf = found[new], idf[new]
         self.known[found] = True
         size = self.start[found + 1] - self.start[found]
-        at = np.repeat(self.start[found] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        for a in range(0, len(at), 500_000):
-            part = at[a : a + 500_000]
-            count = self.count[part]
-            share = count * (K1 + 1) / (count + self.norm[self.doc[part]])
-            self.weight[part] = np.rint(np.repeat(idf, size)[a : a + 500_000] * share * UNIT)
-        for t in found[self.dense_of[found] >= 0]:
-            k, at = self.dense_of[t], slice(self.start[t], self.start[t + 1])
-            self.dense[k, self.doc[at]] = self.weight[at]
-            np.maximum.at(self.block_max[k], self.doc[at] // BLOCK_DOCS, self.weight[at])
-
-    def best(self, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents for the learned words at `found`, by score and then id; scores are over 0."""
-        dense = self.dense_of[found]
-        rare, often = found[dense < 0], dense[dense >= 0]
-        size = self.start[rare + 1] - self.start[rare]
-        at = np.repeat(self.start[rare] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        total = np.bincount(self.doc[at], self.weight[at], minlength=len(self.ids)).astype(np.int64)
-        least = 1
-        if len(often):
-            if len(total) > 4 * k:
-                start = np.argpartition(total, -4 * k)[-4 * k :]
-                least = max(least, np.partition(total[start] + self._frequent(often, start), -k)[-k])
-            bound = self.block_max[often].sum(axis=0)
-            docs = np.flatnonzero(total + np.repeat(bound, BLOCK_DOCS)[: len(total)] >= least)
-            scores = total[docs] + self._frequent(often, docs)
-        else:
-            docs = np.flatnonzero(total)
-            scores = total[docs]
-        if len(docs) > k:
-            least = max(least, np.partition(scores, -k)[-k])
-        keep = scores >= least
-        docs, scores = docs[keep], scores[keep]
+        ends = np.cumsum(size)
+        # Some words at a time, about so many postings.
+        for part in np.split(np.arange(len(found)), np.searchsorted(ends, np.arange(500_000, int(size.sum()), 500_000))):
+            if not len(part):
+                continue
+            at = _ranges(self.start[found[part]], size[part])
+            count = self.count[at]
+            share = count * (K1 + 1) / (count + self.norm[self.doc[at]])
+            weight = np.rint(np.repeat(idf[part], size[part]) * share * UNIT).astype(np.int32)
+            self.weight[at] = weight
+            pieces = _ranges(self.piece[found[part]], self.piece[found[part] + 1] - self.piece[found[part]])
+            length = self.begin[pieces + 1] - self.begin[pieces]
+            self.largest[pieces] = np.maximum.reduceat(weight, np.cumsum(length) - length)
+
+    def _added(self, pieces: np.ndarray, place: np.ndarray, wanted: np.ndarray | None, size: int) -> np.ndarray:
+        """Weights added up by place * BLOCK_DOCS and the document's place in its block, of wanted ones only."""
+        length = self.begin[pieces + 1] - self.begin[pieces]
+        at = _ranges(self.begin[pieces], length)
+        self.read += len(at)
+        where = np.repeat(place, length) * BLOCK_DOCS + self.doc[at] % BLOCK_DOCS
+        weight = self.weight[at]
+        if wanted is not None:
+            use = wanted[where]
+            where, weight = where[use], weight[use]
+        return np.bincount(where, weight, minlength=size).astype(np.int64)
+
+    def best(self, found: np.ndarray, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best documents for the learned words at `found`, by score and then id; scores are `least` or more."""
+        pieces = _ranges(self.piece[found], self.piece[found + 1] - self.piece[found])
+        block, largest = self.block[pieces], self.largest[pieces]
+        bound = np.bincount(block, largest, minlength=self.blocks).astype(np.int64)
+        by_bound = np.argsort(-bound, kind="stable")
+        docs, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+        at, step = 0, FIRST_BLOCKS
+        number = np.full(self.blocks, -1)
+        while at < len(by_bound) and bound[by_bound[at]] >= least:
+            chosen = by_bound[at : at + step]
+            chosen = chosen[bound[chosen] >= least]
+            at, step = at + step, step * MORE_BLOCKS
+            number[:] = -1
+            number[chosen] = np.arange(len(chosen))
+            use = np.flatnonzero(number[block] >= 0)
+            place, size = number[block[use]], len(chosen) * BLOCK_DOCS
+            # The pivot: by largest weight, up from the smallest, where the running sum reaches `least`.
+            order = np.lexsort((largest[use], place))
+            use, place = use[order], place[order]
+            total = np.cumsum(largest[use], dtype=np.int64)
+            before = np.r_[0, np.cumsum(bound[chosen])[:-1]]
+            total -= before[place]
+            sums, wanted, top = np.zeros(size, np.int64), None, np.iinfo(np.int64).max
+            for share in PIVOTS:
+                low = share * least
+                now = (total >= low) & (total < top)
+                if wanted is not None:
+                    now &= wanted.reshape(-1, BLOCK_DOCS).any(axis=1)[place]
+                sums += self._added(pieces[use[now]], place[now], wanted, size)
+                # What the words before this place can still add.
+                rest = np.bincount(place[total < low], largest[use[total < low]], minlength=len(chosen))
+                wanted = (sums > 0) & (sums + np.repeat(rest, BLOCK_DOCS) >= least)
+                top = low
+            hit = np.flatnonzero(wanted & (sums >= least))
+            docs = np.r_[docs, chosen[hit // BLOCK_DOCS].astype(np.int64) * BLOCK_DOCS + hit % BLOCK_DOCS]
+            scores = np.r_[scores, sums[hit]]
+            if len(docs) > k:
+                least = max(least, int(np.partition(scores, -k)[-k]))
+                keep = scores >= least
+                docs, scores = docs[keep], scores[keep]
         order = np.lexsort((self.ids[docs], -scores))[:k]
         return self.ids[docs[order]], scores[order]
 
-    def _frequent(self, often: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """What the frequent words add to the scores of docs."""
-        if 4 * len(docs) < len(self.ids):
-            return self.dense[np.ix_(often, docs)].sum(axis=0, dtype=np.int64)
-        out = np.zeros(len(self.ids), np.int64)
-        for k in often:
-            out += self.dense[k]
-        return out[docs]
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each size, end to end."""
+    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]].astype(np.int64), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
 
 
 @lean
@@ -226,9 +282,11 @@ def search(docs: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     k if there are not as many.  Ties go to the smaller doc_id; repeated rows
     take a rank each.  A doc_id names one query: of several texts the first in
     order counts.  Rows with a null doc_id count in the statistics, but are
-    neither queries nor results.  Null texts have no words.  Other columns are
-    ignored.
+    neither queries nor results.  Null and empty texts have no words; texts are read
+    whole, a very long one as a shard of its own.  Other columns are ignored, and an
+    empty table gives no rows.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id IS NOT NULL")
     nameless = docs.where("doc_id IS NULL")
