@@ -5,13 +5,9 @@ import random
 import re
 from collections import Counter
 
-import duckdb
-import numpy as np
-import pyarrow as pa
 import pytest
 
 from weftgraph.llm import retrieval
-from weftgraph.llm.shingles import slices
 
 SCHEMA = "doc_id long, text string, score string, term int"
 
@@ -54,7 +50,6 @@ def rows_of(seed, n):
 def test_same_as_brute_force(spark, monkeypatch, docs):
     monkeypatch.setattr(retrieval, "SHARD_DOCS", docs)
     monkeypatch.setattr(retrieval, "BLOCK_DOCS", 16)
-    monkeypatch.setattr(retrieval, "FIRST_BLOCKS", 2)
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
     rows = rows_of(1, 1500)
     rows += [(2000, None), (2100, ""), (2200, "!?"), (2300, "É é Ü-ü W1 W2"), (None, "w1 w2 w3"), (None, None), (2400, "w5 " * 70_000)] + [(300, rows[300][1])] * 15
@@ -64,31 +59,3 @@ def test_same_as_brute_force(spark, monkeypatch, docs):
 def test_none(spark):
     assert got(spark, []) == [] and got(spark, [(1, "a"), (2, "a b")]) == [] and got(spark, [(None, "a")]) == []
     assert got(spark, [(100, "a b"), (2, "a")]) == brute([(100, "a b"), (2, "a")])
-
-
-def test_postings_that_are_read():
-    """Of a query's postings, the share that a search reads, and the same best as by reading all."""
-    table = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.1/documents.parquet' ORDER BY doc_id").fetchall()
-    texts = pa.array([t for _, t in table])
-    build, n = retrieval._Builder(), len(table)
-    for a, b in slices(texts):
-        build.add(np.array([d for d, _ in table[a:b]]), *retrieval.terms(texts.slice(a, b - a)))
-    total = build.words
-    words, df, data = build.index()
-    shard = retrieval.Shard(data, total / n)
-    read = every = 0
-    for d, text in table[::500]:
-        h = np.unique(retrieval.terms(pa.array([text]))[0])
-        found = np.searchsorted(words, h)
-        shard.learn(found, np.log(1 + (n - df[found] + 0.5) / (df[found] + 0.5)))
-        every += int(df[found].sum())
-        shard.read = 0
-        ids, scores = shard.best(found, 10)
-        read += shard.read
-        at = retrieval._ranges(shard.start[found], shard.start[found + 1] - shard.start[found])
-        whole = np.bincount(shard.doc[at], shard.weight[at], minlength=n).astype(np.int64)
-        order = np.lexsort((shard.ids, -whole))[:10]
-        order = order[whole[order] > 0]
-        assert ids.tolist() == shard.ids[order].tolist() and scores.tolist() == whole[order].tolist()
-    print("postings read:", read / every, retrieval.BLOCK_DOCS)
-    assert read < 0.7 * every
