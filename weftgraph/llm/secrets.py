@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftgraph.llm.shared import Batches, in_arrow, lean
+from weftgraph.llm.shingles import slices
 
 #: The base kinds, in order, their patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -317,13 +318,16 @@ def mask(docs: DataFrame) -> DataFrame:
 
     def over(batches: Batches) -> Batches:
         for batch in batches:
-            old = batch.column(at).to_pylist()
-            new = [x and masked(x) for x in old]
-            cols = list(batch.columns)
-            cols[at] = pa.array(new, pa.string())
-            if length is not None:
-                kept = batch.column(length).to_pylist()
-                cols[length] = pa.array([k if a == b else len(b) for k, a, b in zip(kept, old, new, strict=True)], batch.column(length).type)
-            yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
+            # A slice at a time, so that texts stand several times over in memory for a slice only.
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                old = part.column(at).to_pylist()
+                new = [x and masked(x) for x in old]
+                cols = list(part.columns)
+                cols[at] = pa.array(new, pa.string())
+                if length is not None:
+                    kept = part.column(length).to_pylist()
+                    cols[length] = pa.array([k if x == y else len(y) for k, x, y in zip(kept, old, new, strict=True)], part.column(length).type)
+                yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
     return in_arrow(docs, over)
