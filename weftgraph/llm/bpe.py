@@ -18,7 +18,7 @@ import hashlib
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -247,7 +247,9 @@ def _assembled(rows: DataFrame, schema: str, each) -> DataFrame:
                 where[np.argsort(of_block, kind="stable")] = np.arange(len(of_block))
                 yield from each(chunk, docs, lengths, ranks, (ends - counts)[where], ends[where], ids)
 
-    return rows.repartition("chunk").sortWithinPartitions("chunk", F.col("block").asc_nulls_last()).mapInArrow(assemble, schema)
+    # By a number, so that tasks of few chunks are not put together: a task's rows are one batch in memory, here and in what follows.
+    number = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(number, "chunk").sortWithinPartitions("chunk", F.col("block").asc_nulls_last()).mapInArrow(assemble, schema)
 
 
 def _through(docs: DataFrame, path: str, schema: str, each) -> DataFrame:
@@ -291,9 +293,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return found.select("doc_id", F.decode(data, "UTF-8").alias("text"))
 
 
-def _by_text(values: list, join: str | bytes, lengths: np.ndarray, ranks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[str | bytes]:
-    """Of each text, the joined values of its words; `values` has one for each id of each distinct word, and a word's are joined once."""
-    made = [join.join(values[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+def _by_text(value: Callable, join: str | bytes, lengths: np.ndarray, ranks: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> Iterator[str | bytes]:
+    """Of each text, the joined values of its words' ids; a distinct word's are joined once, and only its own ids are Python numbers at a time."""
+    made = [join.join(map(value, ids[a:b].tolist())) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     at = 0
     for n in lengths.tolist():
         yield join.join([made[r] for r in ranks[at : at + n].tolist()])
@@ -317,9 +319,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part), *(pa.nulls(len(part), t) for t in kinds)], names)
         sizes, bounds = ends - starts, np.r_[0, np.cumsum(lengths, dtype=np.int64)]
         n = [int(sizes[ranks[a:b]].sum()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        said = [str(i) for i in ids.tolist()]
-        told = [hashlib.sha256(x.encode()).hexdigest() for x in _by_text(said, ",", lengths, ranks, starts, ends)]
-        del said, sizes
+        told = [hashlib.sha256(x.encode()).hexdigest() for x in _by_text(str, ",", lengths, ranks, starts, ends, ids)]
+        del sizes
         parts = [np.ascontiguousarray(x, np.uint32) for x in (lengths, ranks, starts, ends, ids)]
         data = b"".join([struct.pack("<5Q", *map(len, parts)), *parts])
         whole = [pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), *(pa.array([x], t) for x, t in zip((docs, n, told, data), kinds, strict=True))]
@@ -352,8 +353,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     for n in sizes:
                         parts.append(np.frombuffer(raw, np.uint32, n, place))
                         place += 4 * n
-                    *words, ids = parts
-                    texts = _by_text([pieces[i] for i in ids.tolist()], b"", *words)
+                    texts = _by_text(pieces.__getitem__, b"", *parts)
                     right = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in texts]
                     yield pa.RecordBatch.from_arrays([*(batch.column(c)[int(k)].values for c in (2, 3, 4)), pa.array(right, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 before = k + 1
