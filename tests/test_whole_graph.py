@@ -95,3 +95,38 @@ def test_path_lengths_of_many_blocks(spark):
     n = Counter(d for x in range(1500) for d in reached(set(ring), x).values() if 0 < d <= 4)
     assert sorted(map(tuple, traversal.path_lengths(e, ids, 4).collect())) == sorted(n.items())
     assert traversal.path_lengths(e.limit(0), ids).count() == 0
+
+
+@pytest.fixture(scope="module")
+def mixed():
+    """A hub of 700 in-neighbours, small components, a long way and a repeated edge."""
+    hub = [(i, 5000) for i in range(700)] + [(5000, i) for i in range(0, 700, 90)] + [(5000, 5000), (3, 5000)]
+    return hub + [(10_000 + 3 * i, 10_001 + 3 * i) for i in range(400)] + [(20_000 + i, 20_001 + i) for i in range(9)]
+
+
+def test_path_lengths_in_tasks_and_in_tables(spark, mixed, monkeypatch):
+    pairs = {(a, b) for a, b in mixed if a != b}
+    n = Counter(d for x in {x for p in pairs for x in p} for d in reached(pairs, x).values() if d)
+    e = spark.createDataFrame(mixed, "src long, dst long")
+    assert sorted(map(tuple, traversal.path_lengths(e, traversal.vertices(e)).collect())) == sorted(n.items())
+    few = spark.createDataFrame([(3,), (3,), (20_000,), (None,), (-1,)], "id long")
+    some = Counter(d for x in (3, 20_000) for d in reached(pairs, x).values() if d)
+    for held in (traversal.HELD, 0):
+        monkeypatch.setattr(traversal, "HELD", held)
+        assert sorted(map(tuple, traversal.path_lengths(e, few).collect())) == sorted(some.items())
+    assert sorted(map(tuple, traversal.path_lengths(e.selectExpr("string(src) AS src", "string(dst) AS dst"), few.selectExpr("string(id) AS id"), 1).collect())) == [(1, 2)]
+
+
+def test_path_lengths_writes_no_row_for_each_pair_or_round(spark, monkeypatch):
+    ring = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)], "src long, dst long")
+    written = []
+
+    def counted(df, *tag, write=traversal.cut):
+        out = write(df, *tag)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(traversal, "cut", counted)
+    assert sorted(map(tuple, traversal.path_lengths(ring, traversal.vertices(ring)).collect())) == [(d, 40) for d in range(1, 40)]
+    # Edges, vertices, their numbers and the sources.
+    assert sum(written) <= 4 * 40, written

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,39 +44,183 @@ def bfs_from(edges: DataFrame, sources: DataFrame, most: int | None = None) -> D
     return seen.select("source", "id", "distance")
 
 
-#: Sources in a row of path_lengths, 64 in each of its words.
-WORDS = 16
+#: Words of 64 sources that one search of path_lengths carries, and bytes that a task's bits may take.
+WORDS, STATE = 16, 192 << 20
+#: Edges of a graph that each task may hold, 4 bytes each, and vertices.
+HELD, HELD_VERTICES = 1 << 25, 1 << 22
+#: In-neighbours of a vertex that are taken side by side with those of others, and vertices in a row.
+DEEP, ROWS = 512, 8192
 
 
 def path_lengths(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """distance, n: how many pairs of a source and another vertex are so far apart, up to `most` steps.
 
-    A row stands for a vertex and a block of sources, with a bit for each source
-    that has reached it, so pairs are never rows.
+    Pairs are never rows: a bit stands for a source that has reached a vertex.  The
+    tasks hold the graph as numbers and search it for many sources at once, each
+    task other sources.  A graph of over HELD edges or HELD_VERTICES vertices stays
+    in tables, and one block of sources after the other goes through them.
     """
-    spark, names = edges.sparkSession, [f"w{k}" for k in range(WORDS)]
+    spark = edges.sparkSession
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    # Numbers start anew in each partition, high bits apart, so that blocks are full but for the last of a partition.
-    numbered = cut(sources.select("id").where("id IS NOT NULL").distinct().withColumn("number", F.monotonically_increasing_id()))
-    bits, block = 64 * WORDS, F.floor(F.col("number") / (64 * WORDS))
+    marked = cut(vertices(e).withColumn("mark", F.monotonically_increasing_id()))
+    # Marks start anew in each partition, high bits apart; numbers have no gaps.
+    parts = sorted(map(tuple, marked.groupBy(F.shiftright("mark", 33).alias("part")).count().collect()))
+    before = {part: sum(n for p, n in parts if p < part) for part, _ in parts}
+    total = sum(n for _, n in parts)
+    if not total:
+        drop(e, marked)
+        return spark.createDataFrame([], "distance int, n long")
+    offset = F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair))[F.shiftright("mark", 33)]
+    numbered = cut(marked.select("id", (offset + F.col("mark") % (1 << 33)).alias("number")))
+    asked = cut(sources.select("id").distinct().join(numbered, "id").select("id", "number"))
+    if total > HELD_VERTICES or e.count() > HELD:
+        told = _lengths_in_tables(e, asked, total, most)
+    else:
+        told = _lengths_in_tasks(e, numbered, asked, total, most)
+    drop(e, marked, numbered, asked)
+    return spark.createDataFrame(sorted(told.items()), "distance int, n long")
+
+
+def _lengths_in_tasks(e: DataFrame, numbered: DataFrame, asked: DataFrame, total: int, most: int | None) -> dict[int, int]:
+    """distance -> pairs; e and the vertices (id, number below total) fit into a task."""
+    spark = e.sparkSession
+    s, d = numbered.select(F.col("id").alias("src"), F.col("number").cast("int").alias("s")), numbered.select(F.col("id").alias("dst"), F.col("number").cast("int").alias("d"))
+    into = e.join(s, "src").join(d, "dst").groupBy("d").agg(F.collect_list("s").alias("from")).toArrow()
+    # Vertices of a component get numbers in a row, so a search passes over those of its sources only.
+    lists = into.column("from").combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+    heads, counts, tails = into.column("d").to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    label = _weak_labels(np.repeat(heads, counts), tails, total)
+    order = np.argsort(label, kind="stable")
+    place = np.empty(total, np.int32)
+    place[order] = np.arange(total, dtype=np.int32)
+    bounds = np.append(np.flatnonzero(np.diff(label[order], prepend=-1)), total)
+    start, count = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    start[place[heads]], count[place[heads]] = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), counts
+    own = np.sort(place[asked.select("number").toArrow().column("number").to_numpy()])
+    words = int(min(WORDS, max(1, STATE // (24 * np.diff(bounds).max()))))
+    held = spark.sparkContext.broadcast((place[tails], start, count, bounds, own))
+    blocks = -(-len(own) // (64 * words))
+
+    def search(batches):
+        graph = held.value
+        block, side = None, None
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                mine = graph[4][k * 64 * words : (k + 1) * 64 * words]
+                lo, hi = (int(graph[3][np.searchsorted(graph[3], x, "right") + y]) for x, y in ((mine[0], -1), (mine[-1], 0)))
+                if block != (lo, hi):
+                    block, side = (lo, hi), _side_by_side(*graph[:3], lo, hi)
+                n = _search(*side, mine - lo, words, most)
+                yield pa.RecordBatch.from_arrays([pa.array(range(1, len(n) + 1), pa.int32()), pa.array(n, pa.int64())], ["distance", "n"])
+
+    tasks = max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism))
+    found = spark.range(0, blocks, 1, tasks).mapInArrow(search, "distance int, n long").groupBy("distance").agg(F.sum("n").alias("n")).collect()
+    held.destroy()
+    return {r["distance"]: r["n"] for r in found}
+
+
+def _weak_labels(a: np.ndarray, b: np.ndarray, total: int) -> np.ndarray:
+    """The least vertex of each one's component, directions ignored, for edges between a and b; roots hook onto smaller roots."""
+    label = np.arange(total, dtype=np.int32)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+
+
+def _side_by_side(tails: np.ndarray, start: np.ndarray, count: np.ndarray, lo: int, hi: int) -> tuple:
+    """The vertices from lo up to hi in the order of their in-degrees, highest first: rank of each, k-th in-neighbours of the first so many for each k, and what vertices of over DEEP have beside."""
+    order = np.argsort(-count[lo:hi], kind="stable")
+    rank = np.empty(hi - lo, np.int32)
+    rank[order] = np.arange(hi - lo, dtype=np.int32)
+    start, count = start[lo:hi][order], count[lo:hi][order]
+    deep = int(min(DEEP, count[0]))
+    many = np.searchsorted(-count, -np.arange(deep), "left")
+    near = [rank[tails[start[:m] + k] - lo] for k, m in enumerate(many)]
+    rest = [rank[tails[x + DEEP : x + n] - lo] for x, n in zip(start.tolist(), count[: int(np.searchsorted(-count, -DEEP, "left"))].tolist(), strict=False)]
+    return rank, near, rest
+
+
+def _search(rank: np.ndarray, near: list, rest: list, sources: np.ndarray, words: int, most: int | None) -> list[int]:
+    """How many pairs of one of the sources and another vertex are 1, 2, ... steps apart."""
+    bit, at = np.arange(len(sources)), rank[sources]
+    seen = np.zeros((len(rank), words), np.uint64)
+    seen[at, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+    full = np.bitwise_or.reduce(seen, axis=0)
+    front, after = seen.copy(), np.zeros_like(seen)
+    todo, live, taken, told = np.arange(len(rank)), np.zeros(len(rank), bool), np.empty((ROWS, words), np.uint64), []
+    live[at] = True
+    while most is None or len(told) < most:
+        sparse, n, left = live.mean() < 0.25, 0, []
+        after[:] = 0
+        for i in range(0, len(todo), ROWS):
+            rows = todo[i : i + ROWS]
+            got = np.zeros((len(rows), words), np.uint64)
+            for own in near:
+                # Rows are in the order of in-degrees, so those with a k-th in-neighbour come first.
+                m = len(rows) if rows[-1] < len(own) else int(np.searchsorted(rows, len(own)))
+                if not m:
+                    break
+                own = own[rows[:m]]
+                if sparse:
+                    some = np.flatnonzero(live[own])
+                    got[some] |= front[own[some]]
+                else:
+                    np.bitwise_or(got[:m], np.take(front, own, axis=0, out=taken[:m], mode="clip"), out=got[:m])
+            for j in range(int(np.searchsorted(rows, len(rest)))):
+                own = rest[rows[j]]
+                for x in range(0, len(own), ROWS):
+                    got[j] |= np.bitwise_or.reduce(front[own[x : x + ROWS]], axis=0)
+            old = seen[rows]
+            got &= ~old
+            n += int(np.bitwise_count(got).sum(dtype=np.int64))
+            after[rows] = got
+            seen[rows] = old = old | got
+            left.append(rows[(old != full).any(axis=1)])
+        if not n:
+            break
+        told.append(n)
+        todo = np.concatenate(left)
+        front, after = after, front
+        live = front.any(axis=1)
+        if not len(todo):
+            break
+    return told
+
+
+def _lengths_in_tables(e: DataFrame, asked: DataFrame, total: int, most: int | None) -> dict[int, int]:
+    """distance -> pairs; rows are vertices that a block of sources has reached."""
+    spark, names, bits, told = e.sparkSession, [f"w{k}" for k in range(WORDS)], 64 * WORDS, Counter()
     bit = (F.col("number") % bits).cast("int")
     own = [F.when(F.floor(bit / 64) == k, F.expr("shiftleft(1L, cast(number % 64 AS int))")).otherwise(F.lit(0).cast("long")) for k in range(WORDS)]
-    now = cut(numbered.select("id", block.alias("block"), *(w.alias(n) for n, w in zip(names, own, strict=True)), *(w.alias(f"new_{n}") for n, w in zip(names, own, strict=True))))
-    told, step = [], 0
-    while most is None or step < most:
-        step += 1
-        front = now.where(" OR ".join(f"new_{n} <> 0" for n in names)).select("id", "block", *(f"new_{n}" for n in names))
-        sent = e.join(front, e["src"] == front["id"]).groupBy(F.col("dst").alias("id"), "block").agg(*(F.bit_or(f"new_{n}").alias(f"got_{n}") for n in names))
-        both = now.select("id", "block", *names).join(sent, ["id", "block"], "full").na.fill(0, [*names, *(f"got_{n}" for n in names)])
-        after = cut(both.select("id", "block", *(F.expr(f"{n} | got_{n}").alias(n) for n in names), *(F.expr(f"got_{n} & ~{n}").alias(f"new_{n}") for n in names)))
+    for first in range(0, total, bits):
+        block = asked.where(F.col("number").between(first, first + bits - 1))
+        now = cut(block.select("id", *(w.alias(n) for n, w in zip(names, own, strict=True)), *(w.alias(f"new_{n}") for n, w in zip(names, own, strict=True))))
+        step = 0
+        while most is None or step < most:
+            step += 1
+            front = now.where(" OR ".join(f"new_{n} <> 0" for n in names)).select("id", *(f"new_{n}" for n in names))
+            sent = e.join(front, e["src"] == front["id"]).groupBy(F.col("dst").alias("id")).agg(*(F.bit_or(f"new_{n}").alias(f"got_{n}") for n in names))
+            both = now.select("id", *names).join(sent, "id", "full").na.fill(0, [*names, *(f"got_{n}" for n in names)])
+            after = cut(both.select("id", *(F.expr(f"{n} | got_{n}").alias(n) for n in names), *(F.expr(f"got_{n} & ~{n}").alias(f"new_{n}") for n in names)))
+            drop(now)
+            now = after
+            n = now.agg(F.sum(F.expr(" + ".join(f"bit_count(new_{n})" for n in names)).cast("long"))).head()[0]
+            if not n:
+                break
+            told[step] += n
         drop(now)
-        now = after
-        n = now.agg(F.sum(F.expr(" + ".join(f"bit_count(new_{n})" for n in names)).cast("long"))).head()[0]
-        if not n:
-            break
-        told.append((step, n))
-    drop(e, numbered, now)
-    return spark.createDataFrame(told, "distance int, n long")
+        # Shuffle files go when the driver's objects do.
+        del now, front, sent, both, after
+        gc.collect()
+        spark._jvm.System.gc()
+    return dict(told)
 
 
 def components(edges: DataFrame) -> DataFrame:
