@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pytest
@@ -106,3 +107,9 @@ def test_walks_follow_edges(spark):
     steps = told(traversal.walk(e, spark.createDataFrame([("a",)], "id string"), 6, "s"))
     at = {s: x for _, s, x in steps}
     assert all((at[s], at[s + 1]) in {*CYCLE, ("c", "d")} for s in range(max(at)))
+
+
+def test_assortativity_of_equal_degrees(spark):
+    for graph in (K4, CYCLE, [("a", "b")]):
+        assert math.isnan(statistics.assortativity(edges(spark, graph)).head()[0])
+    assert statistics.assortativity(edges(spark, STAR)).head()[0] == -1.0 and statistics.assortativity(edges(spark, PATH)).head()[0] == -0.5

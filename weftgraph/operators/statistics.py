@@ -78,10 +78,12 @@ def transitivity(edges: DataFrame) -> DataFrame:
 
 
 def assortativity(edges: DataFrame) -> DataFrame:
-    """The correlation of degrees at the two ends, over both directions of each edge."""
+    """The correlation of degrees at the two ends, over both directions of each edge; NaN where all degrees are equal, null without edges."""
     d = degree(edges)
     ends = both_ways(edges).join(d.select(F.col("id").alias("src"), F.col("degree").alias("x")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("y")), "dst")
-    return ends.agg(F.round(F.corr("x", "y"), 6).alias("assortativity"))
+    sums = ends.agg(F.covar_pop("x", "y").alias("both"), (F.stddev_pop("x") * F.stddev_pop("y")).alias("each"), (F.min("x") == F.max("x")).alias("equal"))
+    # corr() divides by zero where all degrees are equal, an error in ANSI mode.
+    return sums.select(F.when(F.col("equal"), float("nan")).otherwise(F.round(F.try_divide("both", "each"), 6)).alias("assortativity"))
 
 
 def entropy(edges: DataFrame) -> DataFrame:
