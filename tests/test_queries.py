@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import same
 
+from weftgraph.operators import random_graphs
 from weftgraph.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,8 @@ def test_same_as_duckdb(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_rewired_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(random_graphs, "NUMBERED", 100)
+    same(spark, SF, "n6_rewired", catalogue.QUERIES["n6_rewired"], catalogue.ORACLE_SQL["n6_rewired"])

@@ -127,27 +127,29 @@ def barabasi_albert(spark: SparkSession, n: int, m: int, seed: str, replicas: in
 def rewire(edges: DataFrame, seed: str, rounds: int) -> DataFrame:
     """src, dst: edges after rounds of swaps that keep every degree (Maslov, Sneppen 2002).
 
-    Each round pairs the edges by the order of a hash; a pair (a, b), (c, d) becomes
-    (a, d), (c, b) unless that makes a loop or an edge that stands or is proposed
-    twice.
+    Each round numbers the edges by the order of a hash, in blocks of it, and pairs
+    numbers 2k and 2k + 1; with an odd number the last edge stays.  A pair (a, b),
+    (c, d) becomes (a, d), (c, b) unless that makes a loop or an edge that stands or
+    is proposed twice.
     """
     now = cut(edges.select("src", "dst"))
-    total = now.count()
-    buckets = max(1, total // NUMBERED)
+    width = max(1, (1 << 60) // max(1, now.count() // NUMBERED))
+    blocks, inside = Window.orderBy("block"), Window.partitionBy("block").orderBy("h", "src", "dst")
     for k in range(rounds):
-        h = now.withColumn("h", hashed(F.lit(seed), F.lit(k), F.col("src"), F.col("dst"))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "src", "dst")) - 1
-        placed = h.withColumn("o", order)
-        pairs = placed.groupBy("bucket", F.floor(F.col("o") / 2).alias("pair")).agg(
-            F.max(F.when(F.col("o") % 2 == 0, F.struct("src", "dst"))).alias("p"), F.max(F.when(F.col("o") % 2 == 1, F.struct("src", "dst"))).alias("q")
-        )
-        pairs = cut(pairs.select("bucket", "pair", F.col("p.src").alias("a"), F.col("p.dst").alias("b"), F.col("q.src").alias("c"), F.col("q.dst").alias("d")))
+        h = now.withColumn("h", hashed(F.lit(seed), F.lit(k), F.col("src"), F.col("dst"))).withColumn("block", F.floor(F.col("h") / width))
+        edge = F.struct("h", "src", "dst")
+        # The last edge of a block may be paired with the first of the next.
+        told = h.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(edge).alias("first"))
+        told = told.select("block", F.coalesce(F.sum("n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.lead("first").over(blocks).alias("beyond"))
+        placed = h.select("block", "src", "dst", (F.row_number().over(inside) - 1).alias("inside"), F.lead(edge).over(inside).alias("next")).join(F.broadcast(told), "block")
+        o, q = F.col("offset") + F.col("inside"), F.coalesce("next", "beyond")
+        pairs = cut(placed.where(o % 2 == 0).select(F.shiftright(o, 1).alias("pair"), F.col("src").alias("a"), F.col("dst").alias("b"), q["src"].alias("c"), q["dst"].alias("d")))
         swap = pairs.where("c IS NOT NULL")
-        new = swap.select("bucket", "pair", F.explode(F.array(F.struct(F.least("a", "d").alias("x"), F.greatest("a", "d").alias("y")), F.struct(F.least("c", "b").alias("x"), F.greatest("c", "b").alias("y")))).alias("e")).select("bucket", "pair", "e.x", "e.y")
+        new = swap.select("pair", F.explode(F.array(F.struct(F.least("a", "d").alias("x"), F.greatest("a", "d").alias("y")), F.struct(F.least("c", "b").alias("x"), F.greatest("c", "b").alias("y")))).alias("e")).select("pair", "e.x", "e.y")
         standing = now.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), F.lit(1).alias("old")).distinct()
         twice = new.groupBy("x", "y").agg(F.count(F.lit(1)).alias("times"))
-        bad = new.join(standing, ["x", "y"], "left").join(twice, ["x", "y"]).where("x = y OR old = 1 OR times > 1").select("bucket", "pair").distinct().withColumn("bad", F.lit(1))
-        judged = pairs.join(bad, ["bucket", "pair"], "left")
+        bad = new.join(standing, ["x", "y"], "left").join(twice, ["x", "y"]).where("x = y OR old = 1 OR times > 1").select("pair").distinct().withColumn("bad", F.lit(1))
+        judged = pairs.join(bad, "pair", "left")
         keep = F.col("c").isNull() | (F.col("bad") == 1)
         first = judged.select(F.col("a").alias("src"), F.when(F.coalesce(keep, F.lit(False)), F.col("b")).otherwise(F.col("d")).alias("dst"))
         second = judged.where("c IS NOT NULL").select(F.col("c").alias("src"), F.when(F.coalesce(keep, F.lit(False)), F.col("d")).otherwise(F.col("b")).alias("dst"))
