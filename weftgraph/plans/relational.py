@@ -238,7 +238,9 @@ def window_analytic(spark, sf_dir):
 @query("r_window_frames", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM events")
 def window_frames(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
-    r = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-86400, 0)
+    # Seconds are rounded to the nearest, halves to even, as the SQL's cast does.
+    second = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).cast("long")
+    r = Window.partitionBy("user_id").orderBy(second).rangeBetween(-86400, 0)
     return load(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(w), 6).alias("s"), F.count(F.lit(1)).over(r).alias("n"))
 
 
