@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from collections import Counter, defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,52 @@ def test_path_lengths_writes_no_row_for_each_pair_or_round(spark, monkeypatch):
     assert sorted(map(tuple, traversal.path_lengths(ring, traversal.vertices(ring)).collect())) == [(d, 40) for d in range(1, 40)]
     # Edges, vertices, their numbers and the sources.
     assert sum(written) <= 4 * 40, written
+
+
+def test_path_lengths_keeps_little_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(traversal, "SLICE", 1 << 14, raising=False)
+    e = spark.range(400_000).selectExpr("id % 20000 AS src", "pmod(hash(id), 20000) AS dst").distinct()
+    few = spark.createDataFrame([(1,), (2,)], "id long")
+    n = e.where("src <> dst").count()
+    tracemalloc.start()
+    found = traversal.path_lengths(e, few, 1).collect()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0]["n"] == e.where("src IN (1, 2) AND src <> dst").count()
+    # The edges' numbers twice, what is per vertex, and a slice.
+    assert most < 20 * n, most / n
+
+
+def of_pairs(pairs, total):
+    """Where the in-neighbours of each vertex start in all of them, how many, and the units of all vertices."""
+    a = np.array(sorted(pairs, key=lambda p: p[1]), np.int32)
+    count = np.bincount(a[:, 1], minlength=total)
+    return traversal._units(a[:, 0].copy(), np.cumsum(count) - count, count, np.arange(total))
+
+
+def test_path_lengths_reads_a_vertex_until_it_has_all_sources(monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = {(i, (i + 1) % 3000) for i in range(3000)} | {(int(a), int(b)) for a, b in rng.integers(0, 3000, (60_000, 2)) if a != b}
+    (size, own, near, rest, _), asked, take = *of_pairs(pairs, 3000), [], np.take
+    monkeypatch.setattr(np, "take", lambda a, at, *args, **named: asked.append(len(at)) or take(a, at, *args, **named))
+    told = traversal._search(size, near, rest, None, own[:256], None)
+    assert sum(told) == 256 * 2999
+    # Of four rounds, the first and the last read few in-neighbours.
+    assert len(told) == 4 and sum(asked) < 2.6 * len(pairs), sum(asked) / len(pairs)
+
+
+def test_path_lengths_by_pairs_first(monkeypatch):
+    rng = np.random.default_rng(6)
+    hub = {(i, 0) for i in range(1, 900)} | {(i, 1500 + i) for i in range(300)} | {(int(a), int(b)) for a, b in rng.integers(0, 2000, (2500, 2)) if a != b}
+    n = Counter(d for x in range(2000) for d in reached(hub, x).values() if d)
+    taken, step = [], traversal._step
+    monkeypatch.setattr(traversal, "COSTS", (0, 0, 3, 4))
+    monkeypatch.setattr(traversal, "_step", lambda *args: taken.append(1) or step(*args))
+    for pairs in (traversal.PAIRS, 400):
+        monkeypatch.setattr(traversal, "PAIRS", pairs)
+        found = Counter()
+        for size, own, near, rest, _ in of_pairs(hub, 2000):
+            for first in range(0, len(own), 640):
+                found.update(dict(enumerate(traversal._search(size, near, rest, traversal._onward(size, near, rest), own[first : first + 640], None), 1)))
+        assert found == n
+    assert taken

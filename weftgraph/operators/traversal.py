@@ -45,11 +45,15 @@ def bfs_from(edges: DataFrame, sources: DataFrame, most: int | None = None) -> D
 
 
 #: Words of 64 sources that one search of path_lengths carries, and bytes that a task's bits may take.
-WORDS, STATE = 16, 192 << 20
+WORDS, STATE = 16, 320 << 20
 #: Edges of a graph that each task may hold, 4 bytes each, and vertices.
 HELD, HELD_VERTICES = 1 << 25, 1 << 22
-#: In-neighbours of a vertex that are taken side by side with those of others, and vertices in a row.
-DEEP, ROWS = 512, 8192
+#: In-neighbours of a vertex that are taken side by side with those of others, words of a row of vertices, and edges that the driver looks at together.
+DEEP, ROW, SLICE = 512, 1 << 15, 1 << 20
+#: Edges of a unit from which its first steps go from vertex to vertex, pairs at most that a word's step makes at once.
+ONWARD, PAIRS = 1 << 22, 1 << 22
+#: About the nanoseconds of a pair, of a word's step, of an edge that is looked up, and of a word that is read for it.
+COSTS = 40, 100_000, 3, 4
 
 
 def path_lengths(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
@@ -85,115 +89,261 @@ def _lengths_in_tasks(e: DataFrame, numbered: DataFrame, asked: DataFrame, total
     """distance -> pairs; e and the vertices (id, number below total) fit into a task."""
     spark = e.sparkSession
     s, d = numbered.select(F.col("id").alias("src"), F.col("number").cast("int").alias("s")), numbered.select(F.col("id").alias("dst"), F.col("number").cast("int").alias("d"))
-    into = e.join(s, "src").join(d, "dst").groupBy("d").agg(F.collect_list("s").alias("from")).toArrow()
-    # Vertices of a component get numbers in a row, so a search passes over those of its sources only.
-    lists = into.column("from").combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
-    heads, counts, tails = into.column("d").to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    label = _weak_labels(np.repeat(heads, counts), tails, total)
-    order = np.argsort(label, kind="stable")
-    place = np.empty(total, np.int32)
-    place[order] = np.arange(total, dtype=np.int32)
-    bounds = np.append(np.flatnonzero(np.diff(label[order], prepend=-1)), total)
-    start, count = np.zeros(total, np.int64), np.zeros(total, np.int64)
-    start[place[heads]], count[place[heads]] = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), counts
-    own = np.sort(place[asked.select("number").toArrow().column("number").to_numpy()])
-    words = int(min(WORDS, max(1, STATE // (24 * np.diff(bounds).max()))))
-    held = spark.sparkContext.broadcast((place[tails], start, count, bounds, own))
-    blocks = -(-len(own) // (64 * words))
+    into = e.join(s, "src").join(d, "dst").groupBy("d").agg(F.collect_list("s").alias("from")).toArrow().to_batches()
+    count, tails = np.zeros(total, np.int64), np.empty(sum(len(x.column("from").flatten()) for x in into), np.int32)
+    start, n = np.zeros(total, np.int64), 0
+    while into:
+        # A batch goes when its edges are copied.
+        x = into.pop()
+        heads, lists, own = x.column("d").to_numpy(), x.column("from"), x.column("from").flatten().to_numpy()
+        count[heads] = np.diff(lists.offsets.to_numpy())
+        start[heads] = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py() + n
+        tails[n : n + len(own)] = own
+        n += len(own)
+        del x, lists, own
+    units = _units(tails, start, count, asked.select("number").toArrow().column("number").to_numpy())
+    del tails
+    if not units:
+        return {}
+    words = int(min(WORDS, max(1, STATE // (16 * max(u[0] for u in units)))))
+    blocks = [(k, first) for k, u in enumerate(units) for first in range(0, len(u[1]), 64 * words)]
+    held = spark.sparkContext.broadcast(units)
+    del units
 
     def search(batches):
-        graph = held.value
-        block, side = None, None
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                mine = graph[4][k * 64 * words : (k + 1) * 64 * words]
-                lo, hi = (int(graph[3][np.searchsorted(graph[3], x, "right") + y]) for x, y in ((mine[0], -1), (mine[-1], 0)))
-                if block != (lo, hi):
-                    block, side = (lo, hi), _side_by_side(*graph[:3], lo, hi)
-                n = _search(*side, mine - lo, words, most)
+                unit, first = held.value[blocks[k][0]], blocks[k][1]
+                size, own, near, rest, onward = unit
+                if onward is None and sum(map(len, near)) >= ONWARD:
+                    # The worker keeps the broadcast, and with it this.
+                    onward = unit[-1] = _onward(size, near, rest)
+                n = _search(size, near, rest, onward, own[first : first + 64 * words], most)
                 yield pa.RecordBatch.from_arrays([pa.array(range(1, len(n) + 1), pa.int32()), pa.array(n, pa.int64())], ["distance", "n"])
 
-    tasks = max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism))
-    found = spark.range(0, blocks, 1, tasks).mapInArrow(search, "distance int, n long").groupBy("distance").agg(F.sum("n").alias("n")).collect()
+    tasks = max(1, min(len(blocks), 16 * spark.sparkContext.defaultParallelism))
+    found = spark.range(0, len(blocks), 1, tasks).mapInArrow(search, "distance int, n long").groupBy("distance").agg(F.sum("n").alias("n")).collect()
     held.destroy()
     return {r["distance"]: r["n"] for r in found}
 
 
-def _weak_labels(a: np.ndarray, b: np.ndarray, total: int) -> np.ndarray:
-    """The least vertex of each one's component, directions ignored, for edges between a and b; roots hook onto smaller roots."""
-    label = np.arange(total, dtype=np.int32)
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return label
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label != (up := label[label])).any():
-            label = up
-
-
-def _side_by_side(tails: np.ndarray, start: np.ndarray, count: np.ndarray, lo: int, hi: int) -> tuple:
-    """The vertices from lo up to hi in the order of their in-degrees, highest first: rank of each, k-th in-neighbours of the first so many for each k, and what vertices of over DEEP have beside."""
-    order = np.argsort(-count[lo:hi], kind="stable")
-    rank = np.empty(hi - lo, np.int32)
-    rank[order] = np.arange(hi - lo, dtype=np.int32)
-    start, count = start[lo:hi][order], count[lo:hi][order]
-    deep = int(min(DEEP, count[0]))
-    many = np.searchsorted(-count, -np.arange(deep), "left")
-    near = [rank[tails[start[:m] + k] - lo] for k, m in enumerate(many)]
-    rest = [rank[tails[x + DEEP : x + n] - lo] for x, n in zip(start.tolist(), count[: int(np.searchsorted(-count, -DEEP, "left"))].tolist(), strict=False)]
-    return rank, near, rest
-
-
-def _search(rank: np.ndarray, near: list, rest: list, sources: np.ndarray, words: int, most: int | None) -> list[int]:
-    """How many pairs of one of the sources and another vertex are 1, 2, ... steps apart."""
-    bit, at = np.arange(len(sources)), rank[sources]
-    seen = np.zeros((len(rank), words), np.uint64)
-    seen[at, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+def _weak_labels(tails: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The least vertex of each one's component, directions ignored; roots hook onto smaller roots, a slice of edges after the other."""
+    label = np.arange(len(count), dtype=np.int32)
+    heads = np.argsort(start, kind="stable")
+    heads = heads[count[heads] > 0]
+    ends = np.cumsum(count[heads])
+    for first in range(0, len(tails), SLICE):
+        last = min(first + SLICE, len(tails))
+        i, j = np.searchsorted(ends, (first, last - 1), "right")
+        own = heads[i : j + 1]
+        a, b = np.repeat(own, np.minimum(ends[i : j + 1], last) - np.maximum(start[own], first)), tails[first:last]
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label != (up := label[label])).any():
+                label = up
+    return label
+
+
+def _units(tails: np.ndarray, start: np.ndarray, count: np.ndarray, sources: np.ndarray) -> list[list]:
+    """What is searched by itself, each of whole components: size, sources, k-th in-neighbours of the first so many vertices for each k, what vertices of over DEEP have beside, and a place for _onward().
+
+    A unit's vertices are numbered in the order of their in-degrees, highest first.
+    Components that hold no source are left out.  tails is overwritten.
+    """
+    label, total = _weak_labels(tails, start, count), len(count)
+    size, asked = np.bincount(label, minlength=total), np.bincount(label[sources], minlength=total)
+    size[asked == 0] = 0
+    # Small components share a unit until it has the sources of a block or the vertices of the largest component.
+    unit = (np.cumsum(asked) - asked) // (64 * WORDS) + (np.cumsum(size) - size) // max(64 * WORDS, size.max(initial=0))
+    unit = np.where(size > 0, unit, -1)[label]
+    order = np.lexsort((-count, unit))
+    order = order[np.searchsorted(unit[order], 0) :]
+    bounds = np.append(np.flatnonzero(np.diff(unit[order], prepend=-1)), len(order))
+    local, place = np.zeros(total, np.int32), np.empty(total, np.int64)
+    place[order] = np.arange(len(order))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        local[order[lo:hi]] = np.arange(hi - lo, dtype=np.int32)
+    for first in range(0, len(tails), SLICE):
+        tails[first : first + SLICE] = local[tails[first : first + SLICE]]
+    own, units = np.sort(place[sources]), []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        at, n = start[order[lo:hi]], count[order[lo:hi]]
+        many = np.searchsorted(-n, -np.arange(min(DEEP, n[0])), "left")
+        near = [tails[at[:m] + k] for k, m in enumerate(many.tolist())]
+        rest = [tails[x + DEEP : x + y] for x, y in zip(at.tolist(), n[: int(np.searchsorted(-n, -DEEP, "left"))].tolist(), strict=False)]
+        units.append([hi - lo, own[slice(*np.searchsorted(own, (lo, hi)))] - lo, near, rest, None])
+    return units
+
+
+def _onward(size: int, near: list, rest: list) -> tuple[np.ndarray, np.ndarray]:
+    """Where the out-neighbours of each vertex begin, and those of one after the other."""
+    count = np.zeros(size + 1, np.int64)
+    for own in [*near, *rest]:
+        np.add.at(count, own + 1, 1)
+    begin = np.cumsum(count)
+    flat, at = np.empty(begin[-1], np.int32), begin[:-1].copy()
+    for own in near:
+        order = np.argsort(own)
+        tails = own[order]
+        first = np.flatnonzero(np.diff(tails, prepend=-1))
+        n = np.diff(first, append=len(tails))
+        flat[at[tails] + np.arange(len(tails)) - np.repeat(first, n)] = order
+        at[tails[first]] += n
+    for j, own in enumerate(rest):
+        flat[at[own]] = j
+        at[own] += 1
+    return begin, flat
+
+
+def _search(size: int, near: list, rest: list, onward: tuple | None, sources: np.ndarray, most: int | None) -> list[int]:
+    """How many pairs of one of the sources and another vertex are 1, 2, ... steps apart.
+
+    With `onward` the first steps go from vertex to vertex for as long as that makes
+    few pairs.  Then a vertex is reached in a step if an in-neighbour was before it.
+    Where few have changed, only in-neighbours that did are read; where few pairs
+    are left, a vertex reads its in-neighbours until it has all sources.
+    """
+    words, bit = -(-len(sources) // 64), np.arange(len(sources))
+    seen, after = np.zeros((size, words), np.uint64), np.zeros((size, words), np.uint64)
+    seen[sources, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
     full = np.bitwise_or.reduce(seen, axis=0)
-    front, after = seen.copy(), np.zeros_like(seen)
-    todo, live, taken, told = np.arange(len(rank)), np.zeros(len(rank), bool), np.empty((ROWS, words), np.uint64), []
-    live[at] = True
-    while most is None or len(told) < most:
-        sparse, n, left = live.mean() < 0.25, 0, []
-        after[:] = 0
-        for i in range(0, len(todo), ROWS):
-            rows = todo[i : i + ROWS]
-            got = np.zeros((len(rows), words), np.uint64)
+    rows = max(1, ROW // words)
+    todo, live, told, left = np.arange(size, dtype=np.int32), np.zeros(size, bool), [], size * len(sources) - len(sources)
+    live[sources] = True
+    if onward:
+        (begin, flat), (pair, step, edge, word) = onward, COSTS
+        fronts = [sources[k : k + 64] * 64 + np.arange(len(sources[k : k + 64])) for k in range(0, len(sources), 64)]
+        while most is None or len(told) < most:
+            made = [int((begin[(x >> 6) + 1] - begin[x >> 6]).sum()) for x in fronts]
+            if max(made) > PAIRS or pair * sum(made) + step * words > edge * len(flat) + word * words * min(sum(made), len(flat)):
+                break
+            fronts = [_step(seen, k, x, begin, flat) for k, x in enumerate(fronts)]
+            if not (n := sum(map(len, fronts))):
+                return told
+            told.append(n)
+            left -= n
+        live[:] = False
+        for x in fronts:
+            live[x >> 6] = True
+    taken = np.empty((rows, words), np.uint64)
+
+    def take(at: np.ndarray, out: np.ndarray) -> np.ndarray:
+        return np.take(seen, at, axis=0, out=out[: len(at)], mode="clip")
+
+    def beside(j: int) -> np.ndarray:
+        return np.bitwise_or.reduce([np.bitwise_or.reduce(seen[rest[j][x : x + rows]], axis=0) for x in range(0, len(rest[j]), rows)], axis=0)
+
+    while len(todo) and (most is None or len(told) < most):
+        hubs, open_rows = todo[: int(np.searchsorted(todo, len(rest)))], len(todo) < size
+        within = lambda some, m: some if not len(some) or some[-1] < m else some[: int(np.searchsorted(some, m))]
+        if live.mean() < 0.25:
+            touched = np.zeros(size, bool)
+
+            def put(some: np.ndarray, touched=touched) -> None:
+                fresh = some[~touched[some]]
+                after[fresh] = seen[fresh]
+                touched[fresh] = True
+
             for own in near:
+                some = within(todo, len(own)) if open_rows else np.arange(len(own), dtype=np.int32)
+                if not len(some):
+                    break
+                some = some[live[own[some]]] if open_rows else np.flatnonzero(live[own])
+                for i in range(0, len(some), rows):
+                    part = some[i : i + rows]
+                    put(part)
+                    after[part] |= take(own[part], taken)
+            for j in hubs.tolist():
+                if live[rest[j]].any():
+                    put(np.array([j]))
+                    after[j] |= beside(j)
+            moved = np.flatnonzero(touched)
+            swap = False
+        else:
+            few, moved, swap = left < 0.2 * size * len(sources), todo, True
+            asking = []
+            for i in range(0, len(todo), rows):
+                own_rows = todo[i : i + rows]
+                got = take(own_rows, np.empty((len(own_rows), words), np.uint64))
+                span = slice(int(own_rows[0]), int(own_rows[-1]) + 1)
+                whole = len(own_rows) == span.stop - span.start
+                if few:
+                    after[own_rows] = got
+                    asking.append(own_rows)
+                    continue
                 # Rows are in the order of in-degrees, so those with a k-th in-neighbour come first.
-                m = len(rows) if rows[-1] < len(own) else int(np.searchsorted(rows, len(own)))
-                if not m:
+                for own in near:
+                    part = within(own_rows, len(own))
+                    m = len(part)
+                    if not m:
+                        break
+                    np.bitwise_or(got[:m], take(own[span][:m] if whole else own[part], taken), out=got[:m])
+                after[own_rows] = got
+            asking = np.concatenate(asking) if few else todo[:0]
+            for own in near if few else []:
+                asking, still = within(asking, len(own)), []
+                for i in range(0, len(asking), rows):
+                    part = asking[i : i + rows]
+                    got = after[part]
+                    got |= take(own[part], taken)
+                    after[part] = got
+                    still.append(part[(got != full).any(axis=1)])
+                if not still:
                     break
-                own = own[rows[:m]]
-                if sparse:
-                    some = np.flatnonzero(live[own])
-                    got[some] |= front[own[some]]
-                else:
-                    np.bitwise_or(got[:m], np.take(front, own, axis=0, out=taken[:m], mode="clip"), out=got[:m])
-            for j in range(int(np.searchsorted(rows, len(rest)))):
-                own = rest[rows[j]]
-                for x in range(0, len(own), ROWS):
-                    got[j] |= np.bitwise_or.reduce(front[own[x : x + ROWS]], axis=0)
-            old = seen[rows]
-            got &= ~old
-            n += int(np.bitwise_count(got).sum(dtype=np.int64))
-            after[rows] = got
-            seen[rows] = old = old | got
-            left.append(rows[(old != full).any(axis=1)])
+                asking = np.concatenate(still)
+            for j in hubs.tolist():
+                if (after[j] != full).any():
+                    after[j] |= beside(j)
+        n, done = 0, []
+        live[:] = False
+        for i in range(0, len(moved), rows):
+            part = moved[i : i + rows]
+            now, new = after[part], seen[part]
+            new ^= now
+            n += int(np.bitwise_count(new).sum(dtype=np.int64))
+            live[part] = new.any(axis=1)
+            if not swap:
+                seen[part] = now
+            done.append(part[(now == full).all(axis=1)])
         if not n:
             break
+        if swap:
+            seen, after = after, seen
+        # What has all sources is not asked again and stays so in both.
+        done = np.concatenate(done)
+        after[done] = full
+        if len(done):
+            open_ = np.zeros(size, bool)
+            open_[todo] = True
+            open_[done] = False
+            todo = np.flatnonzero(open_).astype(np.int32)
         told.append(n)
-        todo = np.concatenate(left)
-        front, after = after, front
-        live = front.any(axis=1)
-        if not len(todo):
-            break
+        left -= n
     return told
 
 
+def _step(seen: np.ndarray, word: int, front: np.ndarray, begin: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The pairs (64 times a vertex, plus a bit of the word) that are one step after those of front and not seen before; they are then."""
+    at, n = begin[front >> 6], begin[(front >> 6) + 1] - begin[front >> 6]
+    pairs = flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64) << 6
+    pairs |= np.repeat(front & 63, n)
+    pairs.sort()
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    ids, bits = pairs >> 6, np.uint64(1) << (pairs & 63).astype(np.uint64)
+    new = (seen[ids, word] & bits) == 0
+    pairs, ids, bits = pairs[new], ids[new], bits[new]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    if len(first):
+        seen[ids[first], word] |= np.bitwise_or.reduceat(bits, first)
+    return pairs
+
+
 def _lengths_in_tables(e: DataFrame, asked: DataFrame, total: int, most: int | None) -> dict[int, int]:
     """distance -> pairs; rows are vertices that a block of sources has reached."""
     spark, names, bits, told = e.sparkSession, [f"w{k}" for k in range(WORDS)], 64 * WORDS, Counter()
