@@ -102,7 +102,11 @@ def _lengths_in_tasks(e: DataFrame, numbered: DataFrame, asked: DataFrame, total
         n += len(own)
         del x, lists, own
     units = _units(tails, start, count, asked.select("number").toArrow().column("number").to_numpy())
-    del tails
+    # The search reads no table; shuffle files go when the driver's objects do.
+    drop(e, numbered, asked)
+    del tails, s, d
+    gc.collect()
+    spark._jvm.System.gc()
     if not units:
         return {}
     words = int(min(WORDS, max(1, STATE // (16 * max(u[0] for u in units)))))
